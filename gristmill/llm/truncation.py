@@ -35,7 +35,7 @@ DONE = re.compile(r"[.!?。！？؟](?:[\"'”’»)\]*_`]|</\w+>)*$")
 LIST = re.compile(r"^\s*(?:[-*•‣◦–+]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+\S")
 HEADING = re.compile(r"^\s*(?:#{1,6}(?:\s|$)|={3,}|-{3,}|\*{3,}|_{3,})")
 SIGNED = re.compile(r"^\s*(?:--|—|–)\s*\S")
-LABELLED = re.compile(r"^\s*[^\W\d_][^.:!?]{0,40}:\s*[-+]?[\d.,]+\s*[^\W\d_%€$]*[%€$]?$")
+LABELLED = re.compile(r"^\s*[^\W\d_][^.:=!?]{0,40}[:=≈]\s*[-+]?[\d.,]+\s*[^\W\d_%€$]*[%€$]?$")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Words that hold prose together, of the languages in use; titles and lists have few of them.
 GLUE = frozenset(
@@ -93,6 +93,8 @@ def ending(text: str) -> str:
         return "sentence" if re.search(r"[.!?]\s+\S", LIST.sub("", last)) and last[-1] in ",;" else "unsure"
     # prose: what follows the last sentence end of the line
     parts = re.split(r"(?<=[.!?。])[\"'”’»)\]]*\s+", last)
+    if LABELLED.match(parts[-1]):
+        return "unsure"
     words = [w.lower() for w in WORD.findall(parts[-1])]
     if len(parts) > 1 and WORD.search(parts[-2]):
         return "sentence"
