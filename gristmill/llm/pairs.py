@@ -95,6 +95,12 @@ REFUSES = re.compile(
 POLITE = re.compile(
     r"^(?:hello|hi|hmm|hm|well|sorry|apologies|unfortunately|regrettably|no|thanks?|thank you)\W*$|hope (?:you|that|this)|let me know|(?:some|any)thing else|another (?:topic|question|matter)|please (?:ask|contact|consult|try|see|refer|reach)|try the |documentation|you (?:are asking|asked|want|ask) |thank(?:s| you) for|kindly|consult|i understand|understand (?:that|why|your)|apolog|i(?:'|’)?m sorry|i am sorry|tut mir leid|désolée?|lo siento|disculp|perdón|hoffe|espero|j['’]espère|happy to help|feel free"
     r"|entschuldig|bitte |merci|gracias|danke|veuillez|n['’]hésitez|por favor|si (?:tienes|necesita)|autre (?:chose|question|sujet)|otra (?:cosa|pregunta)|andere", re.I)
+#: Words without one of which REFUSES cannot match, and the most words a refusal has (a limit of what counts as one).
+TRIGGERS = frozenset(
+    "can cannot won will unable able allowed permitted position comfortable prefer rather against outside beyond appropriate ability answer help else something must may going do don off not "
+    "nicht ablehnen verweigern lehne keine ne impossible refuser refuse décliner décline pas no rechazar rechazo negarme declinar non не".split()
+) | {x + y for x in ("declin", "refus", "rule", "rifiut", "отказ") for y in "e ed es s ing al als ò o a ata uto are iamo ывать аться ываюсь аюсь".split()} | {"refused", "refusing", "declined", "declining", "rules", "ruled", "rule"}
+LONGEST_REFUSAL = 80
 QUOTED = re.compile(r"[“„«][^”“»]{3,200}[”“»]|\"[^\"\n]{3,200}\"|(?<!\w)‘[^’]{3,200}’(?!\w)")
 SENTENCES = re.compile(r"(?<=[.!?])[\"'”’»)*_]*\s+|\n+")
 
@@ -114,7 +120,7 @@ def is_refusal(text: str) -> bool:
             declines += n
         elif not POLITE.search(s) and n > 3:
             other += n
-    return declines > 0 and other <= 0.5 * declines and declines + other <= 80
+    return declines > 0 and other <= 0.5 * declines and declines + other <= LONGEST_REFUSAL
 
 
 def is_other_language(text: str, prompt: str) -> bool:
@@ -139,11 +145,12 @@ class Facts:
         self.shared = sum(min(n, counted.get(w, 0)) for w, n in Counter(self.a).items())
         self.end, self.empty = ending(text), is_empty(text)
         self.refuses = self.other = 0
-        for s in SENTENCES.split(text):
-            if s and not s.isspace():
-                r = bool(REFUSES.search(s))
-                self.refuses += r
-                self.other += not r and not POLITE.search(s)
+        if len(self.a) <= LONGEST_REFUSAL and not TRIGGERS.isdisjoint(self.a) and REFUSES.search(text):
+            for s in SENTENCES.split(text):
+                if s and not s.isspace():
+                    r = bool(REFUSES.search(s))
+                    self.refuses += r
+                    self.other += not r and not POLITE.search(s)
 
 
 #: Share of the longer one's words which a copied question and the prompt have in common at least.
@@ -297,14 +304,18 @@ def defect_of(model: LinearModel, text: str | None, prompt: str) -> str | None:
         return "refusal"
     if may[3] and f.lp[0] and f.lv[0] and f.lp[0] != f.lv[0]:
         return "other_language"
-    if may[4] and f.end in CUT:
+    if may[4] and f.end in CUT and (len(f.a) > 2 or f.end == "mark"):
         return "truncated"
     return "open" if f.end == "unsure" and len(f.a) > 4 else None
 
 
 def train(pairs: DataFrame, prompt: str, text: str, order: str, rows: int = TRAIN_ROWS, seed: int = 3) -> LinearModel:
     """Fits the model on at most ``rows`` sound-looking pairs (those of the least hashes), made defective in known ways."""
-    sample = pairs.where(F.length(text) > 60).where(F.length(prompt) > 20).where(F.length(text) < 6000).select(prompt, text, F.xxhash64(order, F.lit(seed)).alias("h")).orderBy("h", text).limit(2 * rows).collect()
+    usable = pairs.where(F.length(text).between(61, 5999) & (F.length(prompt) > 20))
+    share = min(1.0, 4.0 * rows / max(1, usable.count()))
+    h = F.xxhash64(order, F.lit(seed))
+    least = usable.where(h < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else usable
+    sample = least.select(prompt, text, h.alias("h")).orderBy("h", text).limit(2 * rows).collect()
     base = [(p, a) for p, a, _ in sample if ending(a) in ("complete", "unsure") and not is_refusal(a) and not is_other_language(a, p) and not copies(words(a), words(p))][:rows]
     return LinearModel.fit(synthetic(random.Random(seed), base))
 
@@ -330,7 +341,7 @@ def broken_pairs(pairs: DataFrame, record: str, field: str, prompt: str, text: s
 
     seen = pairs.select(record, field, "text", "prompt").mapInArrow(run, f"`{record}` string, `{field}` string, defect string, last_word string").where("defect is not null")
     seen = stored(seen.distinct())
-    broken = stored(broken_words(seen, inner_words(pairs, "text").union(inner_words(pairs, "prompt")).distinct()))
+    broken = stored(broken_words(seen, stored(inner_words(pairs, ["text", "prompt"]))))
     cut_off = seen.where("defect = 'open'").join(maybe_broadcast(broken, broken.count()), "last_word", "left_semi").select(record, field, F.lit("truncated").alias("defect"))
     return seen.where("defect <> 'open'").select(record, field, "defect").union(cut_off).distinct()
 

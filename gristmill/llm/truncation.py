@@ -155,21 +155,22 @@ def field_limits(measured: DataFrame, source: str) -> DataFrame:
     return found.select(source, F.element_at(F.array(*map(F.lit, LENGTHS)), F.col("e") + 1).alias("encoding"), F.col("length").alias("limit"), "n_at", "n_longer", "e")
 
 
-def inner_words(df: DataFrame, text: str) -> DataFrame:
-    """(word): every word that stands somewhere but at a text's end, over all texts."""
+def inner_words(df: DataFrame, texts: list[str]) -> DataFrame:
+    """(word): every word that stands somewhere but at a text's end, over all texts of the columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(WORD.findall(t.lower())[:-1])
+            for column in b.columns:
+                for t in column.to_pylist():
+                    if t:
+                        seen.update(WORD.findall(t.lower())[:-1])
             if len(seen) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
                 seen = set()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
 
-    return df.select(text).mapInArrow(run, "word string").distinct()
+    return df.select(*texts).mapInArrow(run, "word string").distinct()
 
 
 def broken_words(measured: DataFrame, words: DataFrame) -> DataFrame:
@@ -195,12 +196,12 @@ def judged(measured: DataFrame, source: str, words: DataFrame) -> DataFrame:
 
 def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """key, source, ending, at_limit of every text cut off; null and blank texts are no case, null sources are one source."""
-    return judged(stored(measure(df, [key, source], text)), source, inner_words(df, text)).where("truncated").select(key, source, "ending", "at_limit")
+    return judged(stored(measure(df, [key, source], text)), source, stored(inner_words(df, [text]))).where("truncated").select(key, source, "ending", "at_limit")
 
 
 def truncation_rates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """source, documents, truncated, at_limit, rate: how often each source truncates; null and blank texts count in none."""
-    rows = judged(stored(measure(df, [key, source], text)), source, inner_words(df, text))
+    rows = judged(stored(measure(df, [key, source], text)), source, stored(inner_words(df, [text])))
     n, cut_off = F.count(F.lit(1)), F.sum(F.col("truncated").cast("long"))
     return rows.groupBy(source).agg(n.alias("documents"), cut_off.alias("truncated"), F.sum((F.col("truncated") & F.col("at_limit")).cast("long")).alias("at_limit"), (cut_off / n).alias("rate"))
 
