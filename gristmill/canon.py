@@ -37,12 +37,15 @@ def expert_words(x) -> Column:
     return F.regexp_extract_all(F.lower(_c(x)), F.lit(f"({EXPERT_WORD})"), F.lit(1))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: within lambdas an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(tokens: Column, n: int) -> Column:
     """All n-word windows of an array of words, each joined by blanks; empty for shorter arrays."""
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
 
 
 def label(x, sep: str) -> Column:
