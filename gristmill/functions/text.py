@@ -74,18 +74,20 @@ def has_reasoning(x) -> Column:
 
 def non_substantive(x) -> Column:
     """Why a page holds no substance (the first reason that holds), else null."""
-    t = normalize_text(F.coalesce(_c(x), F.lit("")))
-    low = F.lower(t)
-    head = F.trim(F.regexp_replace(F.substring(t, 1, 240), r"(?U)^[\w.-]+\s+", ""))
-    a, b, c = F.substring(low, 1, 1200), F.substring(low, 1, 1600), F.substring(low, 1, 2000)
-    return (
-        F.when(t == "", "empty")
-        .when(head.rlike(FRONT_MATTER), "front_matter_heading")
-        .when(b.rlike(THANKS) & b.rlike(r"\b(?:support|help|encourag|feedback|thank)\w*\b"), "acknowledgments")
-        .when((a.contains("all rights reserved") | a.contains("isbn")) & a.contains("copyright"), "copyright_or_colophon")
-        .when((b.contains("document outline") | b.contains("table of contents")) & (F.regexp_count(c, F.lit(r"\bchapter\s+\d+\b")) >= 3), "table_of_contents")
-        .when(a.contains("other books you may enjoy") & (c.contains("isbn") | (F.regexp_count(c, F.lit(r"\b(?:book|guide|handbook)\b")) >= 3)), "promotional_bibliography")
-    )
+
+    def reason(t: Column, low: Column) -> Column:
+        head = F.trim(F.regexp_replace(F.substring(t, 1, 240), r"(?U)^[\w.-]+\s+", ""))
+        a, b, c = F.substring(low, 1, 1200), F.substring(low, 1, 1600), F.substring(low, 1, 2000)
+        return (
+            F.when(t == "", "empty")
+            .when(head.rlike(FRONT_MATTER), "front_matter_heading")
+            .when(b.rlike(THANKS) & b.rlike(r"\b(?:support|help|encourag|feedback|thank)\w*\b"), "acknowledgments")
+            .when((a.contains("all rights reserved") | a.contains("isbn")) & a.contains("copyright"), "copyright_or_colophon")
+            .when((b.contains("document outline") | b.contains("table of contents")) & (F.regexp_count(c, F.lit(r"\bchapter\s+\d+\b")) >= 3), "table_of_contents")
+            .when(a.contains("other books you may enjoy") & (c.contains("isbn") | (F.regexp_count(c, F.lit(r"\b(?:book|guide|handbook)\b")) >= 3)), "promotional_bibliography")
+        )
+
+    return let(normalize_text(F.coalesce(_c(x), F.lit(""))), lambda t: let(F.lower(F.left(t, F.lit(2000))), lambda low: reason(t, low)))
 
 
 def repetition(x, n: int = 6, least: int = 24) -> Column:

@@ -173,7 +173,16 @@ def fingerprints(spark, d):
 
 
 SH = "list_distinct(case when len(w) >= 8 then list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) else [] end)"
-SETS = "select k, " + SH + " as s, array_to_string(w, ' ') as t from (select {0} as k, " + WORDS.format(NORM.format("{1}")) + " as w from {2})"
+
+
+class SETS:
+    """SQL of (k, s, t): key, set of shingles and words of a text column."""
+
+    @staticmethod
+    def format(key: str, text: str, source: str) -> str:
+        return f"select k, {SH} as s, array_to_string(w, ' ') as t from (select {key} as k, {WORDS.format(NORM.format(text))} as w from {source})"
+
+
 
 
 @query(f"""
