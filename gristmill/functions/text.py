@@ -162,8 +162,8 @@ def file_blocks(x) -> Column:
     pattern = r"(?s)FILE:\s*([^\n`]+?)\s*\n```[A-Za-z0-9_+-]*\n(.*?)```"
     t = F.regexp_replace(_c(x), r"(?s)<think>.*?</think>", "")
     pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("p"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("b"))
-    safe = F.filter(pairs, lambda s: ~s["0"].startswith("/") & ~s["0"].contains("..") & ~s["0"].contains("\\") & (F.length(s["1"]) <= 120_000))
-    return F.map_from_entries(F.transform(safe, lambda s: F.struct(s["0"], s["1"])))
+    safe = F.filter(pairs, lambda s: ~s["p"].startswith("/") & ~s["p"].contains("..") & ~s["p"].contains("\\") & (F.length(s["b"]) <= 120_000))
+    return F.map_from_entries(F.transform(safe, lambda s: F.struct(s["p"], s["b"])))
 
 
 def support_spans(chunk_id, x, width: int = 60, stride: int = 50, most: int = 24) -> Column:
