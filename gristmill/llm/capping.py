@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.canon import label
 from gristmill.llm.selection import cutoffs, key_hash, take_quota
-from gristmill.session import cut, table
+from gristmill.session import cut, maybe_broadcast, table
 
 Q = 1 << 30
 #: Quality bins of the mergeable histogram: the leading 12 of the score's 30 bits.
@@ -38,12 +38,13 @@ def cap_contributors(items: DataFrame, contributor: str, item: str, score: str,
     are broken by a hash of the item, then by the item. Items without contributor are all kept: nobody dominates
     through them. An empty table gives an empty result; further columns pass through.
     """
-    keyed = cut(with_quality_key(items, item, score))
-    over = cut(contributor_cutoffs(keyed, contributor, cap).select(contributor, "quota"))
-    free = keyed.join(F.broadcast(over.select(contributor)) if over.count() <= 100_000 else over.select(contributor), contributor, "left_anti")
+    rows = items.select(F.col(contributor).alias("c"), F.col(item).alias("i"), F.col(score).alias("s"), F.struct(*[F.col(f"`{x}`") for x in items.columns]).alias("row"))
+    keyed = cut(with_quality_key(rows, "i", "s"))
+    over = cut(contributor_cutoffs(keyed, "c", cap).select("c", "quota"))
+    free = keyed.join(maybe_broadcast(over.select("c"), over.count()), "c", "left_anti")
     fine = keyed.withColumn("_fine", F.col("_q")).withColumn("_hb", F.shiftright("_h", BIN_SHIFT))
-    best = take_quota(fine, [contributor], ["_bin", "_fine", "_hb"], ["_h", item], over)
-    return free.select(items.columns).unionByName(best.select(items.columns))
+    best = take_quota(fine, ["c"], ["_bin", "_fine", "_hb"], ["_h", "i"], over)
+    return free.select("row").union(best.select("row")).select("row.*")
 
 
 def jobs_with_scores(spark: SparkSession, sf_dir: str, scores: bool = True) -> DataFrame:

@@ -260,6 +260,8 @@ class LinearModel:
 
     @classmethod
     def fit(cls, pairs: list[tuple[str, str, int | None]], steps: int = 60) -> LinearModel:
+        if not pairs:  # nothing to learn from: every value goes to the exact checks
+            return cls(np.zeros((len(DEFECTS), PAIR + SLOTS + 1), np.float32), np.zeros(len(DEFECTS), np.float32))
         rows = [features(Facts(t, p)) for t, p, _ in pairs]
         length = np.array([len(r[0]) for r in rows])
         at = np.repeat(np.arange(len(rows)), length)

@@ -125,8 +125,9 @@ def proportional_sample(items: DataFrame, item: str, a: str, b: str, quotas: Dat
     items: one row per (item, cell); items with a null cell are never drawn. Only the bin at which a cell's quota
     ends is ranked, so a cell holding a third of all rows is spread over all tasks.
     """
-    keyed = items.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_h", key_hash(item, seed=seed)).withColumn("_hb", F.shiftright("_h", 18))
-    return take_quota(keyed, [a, b], ["_hb"], ["_h", item], quotas.select(a, b, "quota")).select(items.columns)
+    rows = items.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(item).alias("i"), F.struct(*[F.col(f"`{x}`") for x in items.columns]).alias("row"))
+    keyed = rows.withColumn("_h", key_hash("i", seed=seed)).withColumn("_hb", F.shiftright("_h", 18))
+    return take_quota(keyed, ["a", "b"], ["_hb"], ["_h", "i"], quotas.select(F.col(a).alias("a"), F.col(b).alias("b"), "quota")).select("row.*")
 
 
 #: The sample is a tenth of the distinct rows.

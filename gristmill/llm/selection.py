@@ -45,8 +45,8 @@ def take_quota(df: DataFrame, groups: list[str], bins: list[str], order: list[Co
         rest = at.where((F.col("_cut_total") > F.col("_cut_quota")) & (F.col(b) == F.col("_cut_bin")) & (F.col("_cut_left") < F.col("_cut_n"))).select(*df.columns)
         left = cuts.where("_cut_total > _cut_quota and _cut_left < _cut_n").select(*groups, F.col("_cut_left").alias("quota"))
     w = W.partitionBy(*groups).orderBy(*order)
-    last = rest.withColumn("_rank", F.row_number().over(w)).join(maybe_broadcast(left, quotas.count()), groups)
-    kept.append(last.where("_rank <= quota").select(df.columns))
+    last = rest.withColumn("_rank", F.row_number().over(w)).join(maybe_broadcast(left.withColumnRenamed("quota", "_cut_want"), quotas.count()), groups)
+    kept.append(last.where("_rank <= _cut_want").select(df.columns))
     return reduce(DataFrame.union, kept)
 
 

@@ -29,7 +29,9 @@ LENGTHS = {
     "lf_lines": lambda s: len(s) - s.count("\r\n"),
 }
 
-MARK = re.compile(r"(?:…|\.\.\.|\[\s*(?:truncated|cut|snip|more|continued|text truncated|\.\.\.|…)\s*\]|\((?:truncated|cut off|continued|more)\)|<truncated>|\[\+\d+ chars\])$", re.I)
+#: Marks of a cut that say so, and dots that mean one unless a sentence ended before them.
+SAID = re.compile(r"(?:\[\s*(?:truncated|cut|snip|more|continued|text truncated|\.\.\.|…)\s*\]|\((?:truncated|cut off|continued|more)\)|<truncated>|\[\+\d+ chars\])$", re.I)
+DOTS = re.compile(r"(?:…|\.\.\.)$")
 ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3})?|&(?:[A-Za-z]{1,7}|#x?[0-9A-Fa-f]{0,6})?|<[/!]?[A-Za-z]*|%[0-9A-Fa-f]?|[‌‍])$")
 DONE = re.compile(r"[.!?。！？؟](?:[\"'”’»)\]*_`]|</\w+>)*$")
 LIST = re.compile(r"^\s*(?:[-*•‣◦–+]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+\S")
@@ -67,7 +69,7 @@ def ending(text: str) -> str:
     t = text.rstrip()
     if not t:
         return "complete"
-    if (m := MARK.search(t)) and not DONE.search(t[: m.start()].rstrip() or "."):
+    if SAID.search(t) or ((m := DOTS.search(t)) and not DONE.search(t[: m.start()].rstrip() or ".")):
         return "mark"
     if t[-1] == "�":
         return "character"
