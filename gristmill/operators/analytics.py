@@ -34,8 +34,10 @@ def corpus_fingerprint(df: DataFrame, row: Column, digits: int = 3) -> DataFrame
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each numeric column: n, nulls, mean, sample deviation, exact quartiles; one pass over the table."""
-    stats = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.lit(0.25)).alias("p25"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.75)).alias("p75"), F.max(c).cast("double").alias("max")) for c in columns]
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    stats = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q(c).alias("q"), F.max(c).cast("double").alias("max")) for c in columns]
+    one = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    return one.select("column", "n", "nulls", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "median", "p75"))], "max")
 
 
 def quantile_target(df: DataFrame, value: str, target: Column, parts: int = 5) -> DataFrame:

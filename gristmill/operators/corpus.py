@@ -150,7 +150,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, distance: int = 3) -> Da
                 rep_names.append(names[i])
         return pa.table({"k": pa.array([a for a, _ in out], pa.string()), "duplicate_of": pa.array([b for _, b in out], pa.string()), "type": pa.array(["near"] * len(out), pa.string())})
 
-    near = same.withColumn("b", F.expr("shiftrightunsigned(fingerprint, 48)")).groupBy("b").applyInArrow(greedy, "k string, duplicate_of string, type string")
+    bucketed = same.withColumn("b", F.expr("shiftrightunsigned(fingerprint, 48)"))
+    shared = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b")
+    near = bucketed.join(shared, "b", "left_semi").groupBy("b").applyInArrow(greedy, "k string, duplicate_of string, type string")
     return exact.union(twins).union(near)
 
 
