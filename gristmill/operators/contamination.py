@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gristmill.canon import normalize_text, shingles, words
-from gristmill.session import maybe_broadcast
+from gristmill.session import maybe_broadcast, stored
 
 
 def _sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -24,7 +24,7 @@ def contamination(records: DataFrame, key: str, text: str, items: DataFrame, ite
     """
     i = _sets(items, item, prompt, n).where(F.size(F.split("t", " ")) >= least_words).withColumnRenamed("k", "item").withColumnRenamed("t", "item_text")
     i = i.withColumn("item_shingles", F.size("s"))
-    r = _sets(records, key, text, n)
+    r = stored(_sets(records, key, text, n))
     asked = i.select("item", F.explode("s").alias("x"))
     shared = r.select("k", F.explode("s").alias("x")).join(maybe_broadcast(asked, asked.count()), "x").groupBy("k", "item").agg(F.count(F.lit(1)).alias("matching_shingles"))
     best = shared.withColumn("_r", F.row_number().over(W.partitionBy("k").orderBy(F.desc("matching_shingles"), "item"))).where(F.col("_r") <= top)

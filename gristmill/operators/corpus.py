@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gristmill.canon import normalize_text, stable_hash, words
 from gristmill.functions import text as T
+from gristmill.session import stored
 
 BLANK = re.compile(r"\n\s*\n")
 
@@ -129,30 +130,34 @@ def near_duplicates(df: DataFrame, key: str, text: str, distance: int = 3) -> Da
     most ``distance`` bits; removed rows represent nothing. Exact copies collapse first, so a bucket holds only
     different texts; equal fingerprints in a bucket collapse as well before the greedy pass.
     """
-    groups = exact_groups(df.select(F.col(key).cast("string").alias("k"), text), "k", text)
+    groups = stored(exact_groups(df.select(F.col(key).cast("string").alias("k"), text), "k", text))
     exact = groups.where("k <> kept_key").select("k", F.col("kept_key").alias("duplicate_of"), F.lit("exact").alias("type"))
     kept = df.select(F.col(key).cast("string").alias("k"), text).join(groups.where("k = kept_key").select("k"), "k", "left_semi")
-    prints = simhashes(kept, "k", text)
+    prints = stored(simhashes(kept, "k", text))
     same = prints.groupBy("fingerprint").agg(F.min("k").alias("k"))
     twins = prints.withColumnRenamed("k", "other").join(same, "fingerprint").where("other <> k").select(F.col("other").alias("k"), F.col("k").alias("duplicate_of"), F.lit("near").alias("type"))
 
-    def greedy(t: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(t.column("k").to_pylist(), dtype=object), kind="stable") if t.num_rows else []
-        names, prints = t.column("k").to_pylist(), t.column("fingerprint").to_numpy().view(np.uint64)
-        reps, rep_names, out = np.zeros(len(prints), np.uint64), [], []
-        for i in order:
-            n = len(rep_names)
-            near = np.flatnonzero(np.bitwise_count(reps[:n] ^ prints[i]) <= distance)
-            if len(near):
-                out.append((names[i], rep_names[near[0]]))
-            else:
-                reps[n] = prints[i]
-                rep_names.append(names[i])
-        return pa.table({"k": pa.array([a for a, _ in out], pa.string()), "duplicate_of": pa.array([b for _, b in out], pa.string()), "type": pa.array(["near"] * len(out), pa.string())})
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, reps, names = None, np.zeros(64, np.uint64), []
+        for batch in batches:  # sorted by bucket, then key
+            out = []
+            for b, k, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy().view(np.uint64)):
+                if b != bucket:
+                    bucket, names = b, []
+                n = len(names)
+                near = np.flatnonzero(np.bitwise_count(reps[:n] ^ f) <= distance) if n else ()
+                if len(near):
+                    out.append((k, names[near[0]]))
+                    continue
+                if n == len(reps):
+                    reps = np.concatenate([reps, np.zeros(n, np.uint64)])
+                reps[n] = f
+                names.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string()), pa.array(["near"] * len(out), pa.string())], ["k", "duplicate_of", "type"])
 
     bucketed = same.withColumn("b", F.expr("shiftrightunsigned(fingerprint, 48)"))
     shared = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b")
-    near = bucketed.join(shared, "b", "left_semi").groupBy("b").applyInArrow(greedy, "k string, duplicate_of string, type string")
+    near = bucketed.join(shared, "b", "left_semi").select("b", "k", "fingerprint").repartition("b").sortWithinPartitions("b", "k").mapInArrow(greedy, "k string, duplicate_of string, type string")
     return exact.union(twins).union(near)
 
 

@@ -15,7 +15,7 @@ from gristmill.operators import records as R
 from gristmill.operators import sampling as S
 from gristmill.operators import splits as P
 from gristmill.operators import statistics as U
-from gristmill.session import table
+from gristmill.session import spread, table
 from gristmill.streaming import streams
 
 QUERIES: dict = {}
@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 # SQL fragments
@@ -140,7 +140,7 @@ def code_blocks(spark, d):
 
 @query()
 def chunks(spark, d):
-    return C.chunk_records(table(spark, d, "source_document"))
+    return C.chunk_records(spread(table(spark, d, "source_document")))
 
 
 @query()
@@ -194,7 +194,7 @@ select b.k as source_id, b.item_id, contains(recs.t, items.t) as exact, b.c as m
 from best b join items using (item_id) join recs using (k) where r <= 10 and (contains(recs.t, items.t) or (b.c >= 4 and b.c / greatest(1, m) >= 0.45))
 """)
 def contamination(spark, d):
-    records = table(spark, d, "source_document").select("source_id", "text").distinct()
+    records = spread(table(spark, d, "source_document")).select("source_id", "text").distinct()
     return K.contamination(records, "source_id", "text", table(spark, d, "benchmark_item"), "item_id", "question")
 
 
@@ -218,7 +218,7 @@ select count(*) as chunks, count(distinct source_group) as groups, count(distinc
 from (select source_id as chunk_id, metadata.source_group as source_group, metadata.domain as domain, metadata.license as license, text, sha256(lower(""" + N_TEXT + """)) as h from source_document)
 """)
 def corpus_audit(spark, d):
-    s = table(spark, d, "source_document")
+    s = spread(table(spark, d, "source_document"))
     c = s.select(F.col("source_id").alias("chunk_id"), F.col("metadata.source_group").alias("source_group"), F.col("metadata.domain").alias("domain"), F.col("metadata.license").alias("license"), "text", canon.stable_hash(F.lower(canon.normalize_text(F.coalesce("text", F.lit(""))))).alias("chunk_content_hash"))
     return C.audit(c).drop("secrets", "reasoning_markers")
 
