@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.session import table
+from gristmill.session import spread, table
 
 #: Fixed values of the public byte-level format: the pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -199,4 +199,4 @@ def encode_table(df: DataFrame, key: str, text: str, vocabulary: str | None = No
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_table(spread(table(spark, sf_dir, "documents")), "doc_id", "text")

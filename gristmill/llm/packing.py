@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.bpe import default_vocabulary, encoder
-from gristmill.session import stored, table
+from gristmill.session import spread, stored, table
 
 #: Tokens a container holds, and items packed by one task; the loss at a shard's end is a few containers of thousands.
 CAPACITY = 2048
@@ -105,4 +105,4 @@ def pack_items(items: DataFrame, key: str, size: str, capacity: int = CAPACITY,
 
 
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_items(stored(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")), "doc_id", "n_tokens")
+    return pack_items(stored(token_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text")), "doc_id", "n_tokens")

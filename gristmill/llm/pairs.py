@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.overlap import words
 from gristmill.llm.truncation import broken_words, ending, inner_words
-from gristmill.session import maybe_broadcast, stored, table
+from gristmill.session import maybe_broadcast, spread, stored, table
 
 DEFECTS = ["empty", "copies_question", "refusal", "other_language", "truncated"]
 #: Sound pairs (least hashes first) from which training pairs are made; slots of hashed n-grams.
@@ -350,8 +350,8 @@ def broken_pairs(pairs: DataFrame, record: str, field: str, prompt: str, text: s
 
 def answered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "teacher_task").groupBy("task_id").agg(F.max("prompt").alias("prompt"))
-    c = table(spark, sf_dir, "candidate").select(F.col("candidate_id").alias("record_id"), F.lit("answer").alias("field"), "task_id", F.col("answer").alias("text"))
-    k = table(spark, sf_dir, "critique")
+    c = spread(table(spark, sf_dir, "candidate")).select(F.col("candidate_id").alias("record_id"), F.lit("answer").alias("field"), "task_id", F.col("answer").alias("text"))
+    k = spread(table(spark, sf_dir, "critique"))
     for f in ("corrected_answer", "hard_negative"):
         c = c.union(k.select(F.col("critique_id").alias("record_id"), F.lit(f).alias("field"), "task_id", F.col(f).alias("text")))
     return c.join(tasks, "task_id", "left").select("record_id", "field", "prompt", "text")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.session import table
+from gristmill.session import spread, table
 
 #: Code points of a piece at most, of the new text in it at least, and shared with the piece before.
 LIMIT, LEAST, OVERLAP = 4200, 1400, 400
@@ -113,7 +113,7 @@ def split_texts(df: DataFrame, keys: list[str], text: str, limit: int = LIMIT, l
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a paragraph that no piece can hold whole."""
-    pieces = split_texts(table(spark, sf_dir, "source_document"), ["source_id", "part"], "text", with_text=False)
+    pieces = split_texts(spread(table(spark, sf_dir, "source_document")), ["source_id", "part"], "text", with_text=False)
     return pieces.where(f"longest_paragraph > {LIMIT} and source_id is not null").select("source_id").distinct()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gristmill.session import maybe_broadcast, stored, table
+from gristmill.session import maybe_broadcast, spread, stored, table
 
 _LINES = re.compile(r"\r\n|\r|\n")
 #: The ways in which a store may have counted a text.
@@ -209,12 +209,12 @@ def truncation_rates(df: DataFrame, key: str, text: str, source: str) -> DataFra
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id").distinct()
+    return truncated_texts(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "source").select("doc_id").distinct()
 
 
 def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_limits(stored(measure(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")), "source").drop("e")
+    return field_limits(stored(measure(spread(table(spark, sf_dir, "documents")), ["doc_id", "source"], "text")), "source").drop("e")
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation_rates(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return truncation_rates(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "source")
