@@ -175,3 +175,19 @@ def support_spans(chunk_id, x, width: int = 60, stride: int = 50, most: int = 24
 
     texts = let(F.filter(F.split(normalize_text(x), " "), lambda t: t != ""), windows)
     return F.transform(F.slice(texts, 1, most), lambda t, i: F.struct(F.concat(chunk_id, F.lit("::span-"), F.lpad((i + 1).cast("string"), 3, "0")).alias("span_id"), t.alias("text")))
+
+
+def marker_coverage(x, groups: dict[str, list[str]]) -> Column:
+    """Names of the capabilities of which a text holds any marker, ignoring case."""
+    low = F.lower(_c(x))
+    hit = lambda markers: F.exists(F.array(*[F.lit(m.lower()) for m in markers]), lambda m: F.contains(low, m))
+    return F.array_compact(F.array(*[F.when(hit(m), name) for name, m in groups.items()]))
+
+
+def headings(x) -> Column:
+    """Titles of Markdown headings, in order."""
+    return F.regexp_extract_all(_c(x), F.lit(r"(?m)^#{1,6}\s+(.+?)\s*$"), F.lit(1))
+
+
+def clipped(x, most: int, marker: str = " [clipped]") -> Column:
+    return F.when(F.length(x) > most, F.concat(F.left(_c(x), F.lit(most)), F.lit(marker))).otherwise(_c(x))

@@ -44,8 +44,8 @@ def balanced_cap(df: DataFrame, quotas: DataFrame, domain: str, group: str, scor
     turn = F.row_number().over(W.partitionBy(domain).orderBy("_r", F.desc(score), group, key))
     ranked = df.withColumn("_r", r).join(quotas.select(domain, "quota"), domain, "left").withColumn("_t", turn).withColumn("_in", F.coalesce(F.col("_t") <= F.col("quota"), F.lit(False)))
     chosen = ranked.where("_in")
-    short = quotas.agg(F.sum("quota").alias("want")).crossJoin(chosen.agg(F.count(F.lit(1)).alias("have")))  # two single rows
-    fill = ranked.where("not _in").withColumn("_f", F.row_number().over(W.orderBy(F.desc(score), key))).join(F.broadcast(short)).where("_f <= want - have")
+    short = (quotas.agg(F.sum("quota")).first()[0] or 0) - chosen.count()
+    fill = ranked.where("not _in").orderBy(F.desc(score), key).limit(max(0, int(short)))  # a distributed top-k
     return chosen.select(df.columns).union(fill.select(df.columns))
 
 
@@ -53,7 +53,8 @@ def round_robin(df: DataFrame, domain: str, key: str, limit: int, seed: str = "1
     """The first ``limit`` rows when domains take turns, each in hash order; ``position`` counts from 1."""
     h = stable_hash(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 64)
     turn = df.withColumn("_rn", F.row_number().over(W.partitionBy(domain).orderBy(h, key))).where(F.col("_rn") <= limit)
-    return turn.withColumn("position", F.row_number().over(W.orderBy("_rn", domain))).where(F.col("position") <= limit).drop("_rn")
+    top = turn.orderBy("_rn", domain).limit(limit)  # a distributed top-k, so only ``limit`` rows are numbered
+    return top.withColumn("position", F.row_number().over(W.orderBy("_rn", domain))).drop("_rn")
 
 
 def bucket_rank(df: DataFrame, bucket: str, quotas: dict[str, int], score: Column, key: str) -> DataFrame:
@@ -61,7 +62,8 @@ def bucket_rank(df: DataFrame, bucket: str, quotas: dict[str, int], score: Colum
     pairs = [x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))]
     s = df.withColumn("score", score)
     rank = F.row_number().over(W.partitionBy(bucket).orderBy(F.desc("score"), key))
-    return s.withColumn("rank", rank).where(F.col("rank") <= F.element_at(F.create_map(*pairs), F.col(bucket)))
+    best = s.withColumn("rank", rank).where(F.col("rank") <= max(quotas.values(), default=0))  # lets the planner limit groups early
+    return best.where(F.col("rank") <= F.element_at(F.create_map(*pairs), F.col(bucket)))
 
 
 def popularity_score(population: Column) -> Column:
@@ -90,7 +92,8 @@ def rotate(key, role: str, pool: list[str]) -> Column:
 def queue_order(df: DataFrame, tier: Column, failed: Column, key: str, limit: int, seed: str = "17") -> DataFrame:
     """Work in order of tier, failures last, hash order within; the first ``limit``, numbered."""
     h = stable_hash(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 64)
-    return df.withColumn("_t", tier).withColumn("_f", failed).withColumn("position", F.row_number().over(W.orderBy("_t", "_f", h, key))).where(F.col("position") <= limit).drop("_t", "_f")
+    top = df.withColumn("_t", tier).withColumn("_f", failed).withColumn("_h", h).orderBy("_t", "_f", "_h", key).limit(limit)
+    return top.withColumn("position", F.row_number().over(W.orderBy("_t", "_f", "_h", key))).drop("_t", "_f", "_h")
 
 
 def epoch_order(df: DataFrame, key: str, epoch: int) -> DataFrame:
@@ -114,3 +117,20 @@ def schedule(groups: DataFrame, group: str, domain: str, quotas: DataFrame, seed
     q = quotas.where("quota > 0").select(domain, F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota").cast("long"))).alias("slot"))
     jobs = q.join(g, domain).where("(slot - 1) % _n = _i")
     return jobs.select(domain, "slot", group, stable_hash(F.concat_ws("|", domain, group, F.col("slot").cast("string")), 20).alias("job_id"))
+
+
+def hard_negatives(df: DataFrame, source: str, key: str, answer: str, seed: str = "17") -> DataFrame:
+    """source, key, hard_negative: the answer of the next row of the same source in hash order, cyclic; null for a source of one."""
+    h = stable_hash(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 64)
+    w = W.partitionBy(source).orderBy(h, key)
+    first = F.first(F.struct(key, answer)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    nxt = F.coalesce(F.lead(F.struct(key, answer)).over(w), first)
+    return df.select(source, key, nxt.alias("_x")).select(source, key, F.when(F.col("_x")[key] != F.col(key), F.col("_x")[answer]).alias("hard_negative"))
+
+
+def coherent_window(df: DataFrame, group: str, order: list, size: int, seed: str = "17") -> DataFrame:
+    """A contiguous window of ``size`` rows of each group in its order, its start chosen by the group's hash."""
+    w = W.partitionBy(group)
+    n = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    start = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.greatest(F.lit(1), F.col("_n") - size + 1))
+    return n.withColumn("_s", start).where((F.col("_i") >= F.col("_s")) & (F.col("_i") < F.col("_s") + size)).drop("_i", "_n", "_s")

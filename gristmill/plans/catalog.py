@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill import canon
+from gristmill.functions import nested as N
 from gristmill.functions import text as T
 from gristmill.operators import analytics as A
 from gristmill.operators import contamination as K
@@ -716,3 +717,44 @@ def budgeted_requests(spark, d):
 @query("select task_id from teacher_task where task_id not in (select task_id from candidate where task_id is not null)")
 def open_work(spark, d):
     return streams.todo(table(spark, d, "teacher_task"), table(spark, d, "candidate"), "task_id").select("task_id")
+
+
+# --- nested values, windows, rotations -----------------------------------------------------------------------------
+
+
+@query(r"select sample_id, json_extract_string(target, '$.summary') as summary from native_row")
+def target_strings(spark, d):
+    return table(spark, d, "native_row").select("sample_id", F.try_element_at(N.string_leaves("target"), F.lit(1)).alias("summary"))
+
+
+@query()
+def answer_signatures(spark, d):
+    return table(spark, d, "candidate").select("candidate_id", N.answer_signature("answer").alias("signature"))
+
+
+@query()
+def canonical_targets(spark, d):
+    return table(spark, d, "native_row").select("sample_id", F.substring(F.sha2(N.canonical_json("target"), 256), 1, 32).alias("target_hash"))
+
+
+@query("""
+with h as (select source, doc_id, title, sha256('17:' || doc_id) as h from documents), n as (select source, doc_id, coalesce(lead({'k': doc_id, 'v': title}) over w, first_value({'k': doc_id, 'v': title}) over w) as x from h window w as (partition by source order by h, doc_id))
+select source, doc_id, case when x.k <> doc_id then x.v end as hard_negative from n
+""")
+def hard_negatives(spark, d):
+    return S.hard_negatives(docs(spark, d), "source", "doc_id", "title")
+
+
+@query()
+def coherent_windows(spark, d):
+    return S.coherent_window(docs(spark, d).select("doc_id", "source", "part"), "source", ["doc_id"], 4)
+
+
+@query(r"""
+select doc_id, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6}[ 	]+([^
+]+?)[ 	
+]*$')) as headings, array_to_string(list_filter(['code', 'table'], lambda k: case k when 'code' then contains(lower(coalesce(text, '')), '```') else contains(lower(coalesce(text, '')), '|---|') end), ',') as holds from documents
+""")
+def document_features(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return docs(spark, d).select("doc_id", F.size(F.regexp_extract_all(t, F.lit(r"(?m)^#{1,6}[ \t]+([^\n]+?)[ \t\r]*$"), F.lit(1))).alias("headings"), F.array_join(T.marker_coverage(t, {"code": ["```"], "table": ["|---|"]}), ",").alias("holds"))

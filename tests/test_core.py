@@ -254,3 +254,22 @@ def test_queries_run_and_have_unique_columns(spark, sf):
         df = catalog.QUERIES[name](spark, sf)
         assert len(set(df.columns)) == len(df.columns) and df.count() >= 1
     assert not set(catalog.SQL) - set(catalog.QUERIES)
+
+
+def test_nested_walks(spark):
+    from gristmill.functions import nested as N
+
+    df = spark.createDataFrame([('{"a": ["xx", {"b_id": "y", "c": 1}], "d": null}', 'say ```json\n{"x": {"tool": "t", "args": [1]}}\n```'), ("{", None), (None, "```\n{}\n```")], "j string, r string")
+    got = df.select(N.string_leaves("j").alias("l"), N.ids("j").alias("i"), N.compact("j", 1, 1).alias("c"), N.canonical_json("j").alias("k"), N.tool_fields("r", ["tool", "args"]).alias("t")).collect()
+    assert got[0].l == ["xx", "y"] and got[0].i == ["y"] and json.loads(got[0].c) == {"a": ["x"], "d": None} and got[0].k == '{"a":["xx",{"b_id":"y","c":1}],"d":null}'
+    assert [r.t for r in got] == [True, False, False] and got[1].c is None and list(got[2].l) == []
+    s = spark.createDataFrame([("so 1,200.0",), ("= 1200",), ("Yes!",)], "a string").select(N.answer_signature("a").alias("s")).collect()
+    assert s[0].s == s[1].s == "1200" and s[2].s == "yes"
+
+
+def test_windows_and_rotations(spark):
+    df = spark.createDataFrame([("g", i, f"v{i}") for i in range(9)] + [("h", 100, "x")], "g string, i long, v string")
+    w = sorted(r.i for r in sampling.coherent_window(df, "g", ["i"], 4).where("g = 'g'").collect())
+    assert len(w) == 4 and w == list(range(w[0], w[0] + 4))
+    n = {r.i: r.hard_negative for r in sampling.hard_negatives(df, "g", "i", "v").collect()}
+    assert n[100] is None and sorted(n[i] for i in range(9)) == sorted(f"v{i}" for i in range(9)) and all(n[i] != f"v{i}" for i in range(9))
