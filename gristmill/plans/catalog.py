@@ -480,7 +480,7 @@ def work_queue(spark, d):
 
 @query(f"""
 select lineage_component_id, {SPLIT.format("lineage_component_id")} as by_lineage,
- case when cast(concat('0x', substr(sha256('{{"lineage":"' || lineage_component_id || '","split":"beast"}}'), 1, 8)) as ubigint) / 4294967295.0 < 0.1 then 'validation' else 'train' end as by_packet,
+ case when cast(concat('0x', substr(sha256('{{"lineage":"' || lineage_component_id || '","split":"packet"}}'), 1, 8)) as ubigint) / 4294967295.0 < 0.1 then 'validation' else 'train' end as by_packet,
  case when cast(concat('0x', substr(sha256('split:' || lineage_component_id), 1, 8)) as ubigint) % 10 <= 7 then 'train' when cast(concat('0x', substr(sha256('split:' || lineage_component_id), 1, 8)) as ubigint) % 10 = 8 then 'validation' else 'test' end as by_decile,
  case when cast(concat('0x', substr(sha1(lineage_component_id), 1, 8)) as ubigint) / 4294967296.0 < 0.05 then 'test' when cast(concat('0x', substr(sha1(lineage_component_id), 1, 8)) as ubigint) / 4294967296.0 < 0.08 then 'validation' else 'train' end as by_sha1
 from (select distinct lineage_component_id from native_row where lineage_component_id is not null)
@@ -488,7 +488,7 @@ from (select distinct lineage_component_id from native_row where lineage_compone
 def lineage_splits(spark, d):
     x = table(spark, d, "native_row").select("lineage_component_id").where("lineage_component_id is not null").distinct()
     c = F.col("lineage_component_id")
-    return x.select(c, P.split_by(c).alias("by_lineage"), P.packet_split(c, "beast", 0.1).alias("by_packet"), P.decile_split(c).alias("by_decile"), P.sha1_split(c).alias("by_sha1"))
+    return x.select(c, P.split_by(c).alias("by_lineage"), P.packet_split(c, "packet", 0.1).alias("by_packet"), P.decile_split(c).alias("by_decile"), P.sha1_split(c).alias("by_sha1"))
 
 
 @query("""
@@ -649,7 +649,6 @@ def token_rank_correlation(spark, d):
     return U.spearman(table(spark, d, "candidate"), "prompt_tokens", "completion_tokens")
 
 
-_RISK = "(select distinct episode_id, s, y from " + _SCORED + ")"
 
 
 @query(f"""
