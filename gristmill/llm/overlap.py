@@ -1,18 +1,15 @@
-"""Problem 1: same or near-same records across splits, by word n-gram hashes of the evaluation side."""
+"""Problem 1: same or near-same records across splits, every training record against every held-out one of fitting length."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gristmill.canon import label
@@ -20,15 +17,10 @@ from gristmill.session import cut, spread, stored, table
 
 #: Two records overlap if they share NUM / DEN of the longer one's words.
 NUM, DEN = 3, 4
-#: n-grams are taken in the order of the text and in the order of the words' hashes. Records of up to SHORT words
-#: are matched by subsets of their words instead.
-TEXT_N, SORTED_N, SHORT = 5, 4, 11
-#: Of its n-grams found in training at all, an evaluation record looks for the rarest: this share of each kind. Where
-#: these lead to more than BUDGET training records, only as many as stay under it, but FEWEST in any case.
-SHARE = {1: 0.45, 2: 0.36}
-FEWEST, BUDGET = 6, 400
-#: Fixed sizes: bits of the broadcast n-gram filter, n-grams it is good for, bits of a record's sketch of words.
-FILTER_BITS, FILTER_GRAMS, SKETCH_WORDS = 1 << 28, 60_000_000, 8
+#: Words of a record's sketch, and how many of them the first comparison folds it to.
+SKETCH_WORDS, COARSE = 8, 4
+#: The held-out side is broadcast in parts of so many words; a comparison takes so many training by held-out records.
+HELD_WORDS, ROWS, COLUMNS = 4_000_000, 32, 2048
 
 WORDS = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[a-z]{2,8}|#\d{1,6});")
@@ -64,40 +56,6 @@ def numbered(seq: list[int], hashes: _Hashes) -> np.ndarray:
     return np.sort(np.array(out, np.uint64))
 
 
-def _grams(a: np.ndarray, n: int) -> np.ndarray:
-    h = np.zeros(max(0, len(a) - n + 1), np.uint64)
-    for i in range(n if len(h) else 0):
-        h = (h ^ a[i : len(a) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    return h
-
-
-def signatures(seq: np.ndarray, hashes: _Hashes) -> list[tuple[int, np.ndarray]]:
-    """(kind, hashes) by which a record is found.
-
-    Kind 0, up to SHORT words and a little more: every subset that could be all it shares, so nothing is missed.
-    Kind 1: n-grams in text order, which survive edits. Kind 2: n-grams in hash order, which do not depend on the
-    order of words.
-    """
-    n = len(seq)
-    if not n:
-        return []
-    toks = numbered(seq.tolist(), hashes)
-    out = []
-    if n <= SHORT * DEN // NUM:
-        least = -(-NUM * n // DEN)
-        for k in range(least, min(n, SHORT) + 1):
-            sets = np.array(list(combinations(toks.tolist(), k)), np.uint64)
-            h = np.full(len(sets), k, np.uint64)
-            for i in range(k):
-                h = (h ^ sets[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(29)
-            out.append((0, np.unique(h)))
-    if n > SHORT:
-        out += [(1, np.unique(_grams(seq, TEXT_N))), (2, np.unique(_grams(toks, SORTED_N)))]
-    return out
-
-
 def sketch(toks: np.ndarray) -> np.ndarray:
     """Bits of the numbered words: a word missing in another record clears at most one bit of the common ones."""
     bits = np.zeros(SKETCH_WORDS, np.uint64)
@@ -106,16 +64,23 @@ def sketch(toks: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _lists(col: pa.Array) -> Iterator[np.ndarray]:
-    values, offsets = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), [0]
-    for x in col.value_lengths().to_pylist():
-        offsets.append(offsets[-1] + (x or 0))
-        yield values[offsets[-2] : offsets[-1]]
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists and where each list starts, with the end."""
+    size = col.value_lengths().to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
+def _gone(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits of sketches ``a`` that ``b`` lacks, the first axis being the sketch's words; 256 counts as 0 in 8 bits."""
+    out = np.bitwise_count(a[0] & ~b[0])
+    for x, y in zip(a[1:], b[1:]):
+        out += np.bitwise_count(x & ~y)
+    return out
 
 
 def prepare(df: DataFrame, carry: list[str], text: str) -> DataFrame:
-    """carry, n, key, words, bits: number, multiset hash, hashes and sketch of each text's words; texts without words are left out."""
-    names = [*carry, "n", "key", "words", "bits"]
+    """carry, n, key, toks, bits: number, multiset hash, sorted hashes (see numbered()) and sketch of each text's words; texts without words are left out."""
+    names = [*carry, "n", "key", "toks", "bits"]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,105 +90,76 @@ def prepare(df: DataFrame, carry: list[str], text: str) -> DataFrame:
             for i, t in enumerate(b.column(len(carry)).to_pylist()):
                 seq = [hashes[w] for w in words(t)] if t else []
                 if seq:
-                    row.append(i), n.append(len(seq)), flat.extend(seq), offsets.append(len(flat))
                     toks = numbered(seq, hashes)
+                    row.append(i), n.append(len(seq)), flat.append(toks), offsets.append(offsets[-1] + len(seq))
                     key.append(xxhash.xxh64_intdigest(toks.tobytes()))
                     bits.append(sketch(toks))
             at = pa.array(row, pa.int32())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(len(carry))), pa.array(n, pa.int32()), signed(key), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(flat)), pa.ListArray.from_arrays(pa.array(range(0, SKETCH_WORDS * len(row) + 1, SKETCH_WORDS), pa.int32()), signed(np.concatenate(bits) if bits else []))], names)
-
-    return df.select(*carry, text).mapInArrow(run, f"{kinds}, n int, key long, words array<long>, bits array<long>")
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(len(carry))), pa.array(n, pa.int32()), signed(key), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(np.concatenate(flat) if flat else [])), pa.ListArray.from_arrays(pa.array(range(0, SKETCH_WORDS * len(row) + 1, SKETCH_WORDS), pa.int32()), signed(np.concatenate(bits) if bits else []))], names)
 
+    return df.select(*carry, text).mapInArrow(run, f"{kinds}, n int, key long, toks array<long>, bits array<long>")
 
-def _held_grams(held: DataFrame) -> DataFrame:
-    """(key, kind, sig) of every class of the evaluation side."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for whole in batches:
-            for part in range(0, whole.num_rows, 2000):
-                b = whole.slice(part, 2000)
-                got = [(k, kind, h) for k, seq in zip(b.column(0).to_numpy(), _lists(b.column(1))) for kind, h in signatures(seq, hashes)]
-                size = [len(h) for _, _, h in got]
-                sigs = np.concatenate([h for *_, h in got]).view(np.int64) if got else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([k for k, *_ in got], np.int64), size)), pa.array(np.repeat(np.array([k for _, k, _ in got], np.int32), size)), pa.array(sigs)], ["key", "kind", "sig"])
+def _held(classes: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, n, sketches, words and their starts, in order of n."""
+    classes = classes.sort_by("n")
+    col = lambda c: classes.column(c).combine_chunks()
+    return col("key").to_numpy(), col("n").to_numpy(), np.ascontiguousarray(_flat(col("bits"))[0].reshape(-1, SKETCH_WORDS).T), *_flat(col("toks"))
 
-    return held.select("key", "words").mapInArrow(run, "key long, kind int, sig long").distinct()
 
-
-def _scan(train: DataFrame, bits, count: bool) -> DataFrame:
-    """The training side's n-grams that the filter lets through: (sig, n) counted per batch, or (key, sig)."""
+def _compare(train: DataFrame, part) -> DataFrame:
+    """Overlapping pairs of the training rows and one broadcast part of the held-out classes, with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, mask = _Hashes(), bits.value if bits is not None else None
-        for whole in batches:
-            for part in range(0, whole.num_rows, 2000):
-                b = whole.slice(part, 2000)
-                sigs, size = [], []
-                for seq in _lists(b.column(1)):
-                    s = [h for _, h in signatures(seq, hashes)]
-                    s = np.concatenate(s) if s else np.zeros(0, np.uint64)
-                    if mask is not None:
-                        x = s & np.uint64(FILTER_BITS - 1)
-                        s = s[(mask[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1]
-                    sigs.append(s)
-                    size.append(len(s))
-                flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-                if count:
-                    u, n = np.unique(flat, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["sig", "n"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(flat)], ["key", "sig"])
-
-    return train.select("key", "words").mapInArrow(run, "sig long, n long" if count else "key long, sig long")
-
-
-def _filter(sigs: DataFrame):
-    """A broadcast bitmap of the signatures' low bits, of fixed size; none if they are too many for it to sift."""
-    if sigs.count() > FILTER_GRAMS:
-        return None
-    low = F.col("sig").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = sigs.groupBy(F.shiftright(low, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((sig & {FILTER_BITS - 1}) & 63 as int))")).alias("b")).toArrow()
-    out = np.zeros(FILTER_BITS >> 6, np.uint64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.int64).view(np.uint64)
-    return sigs.sparkSession.sparkContext.broadcast(out)
+        key_e, n_e, bits_e, flat_e, at_e = part.value
+        coarse_e = bits_e[:COARSE] | bits_e[COARSE:]
+        for b in batches:
+            key_t, n_t = b.column(0).to_numpy(), b.column(1).to_numpy()
+            bits_t, (flat_t, at_t) = np.ascontiguousarray(_flat(b.column(2))[0].reshape(-1, SKETCH_WORDS).T), _flat(b.column(3))
+            coarse_t = bits_t[:COARSE] | bits_t[COARSE:]
+            found: list[tuple[int, int, int]] = []
+            order = np.unique(key_t, return_index=True)[1]
+            order = order[np.argsort(n_t[order], kind="stable")]
+            for lo in range(0, len(order), ROWS):
+                rows = order[lo : lo + ROWS]
+                n = n_t[rows]
+                first, last = np.searchsorted(n_e, -(-NUM * int(n[0]) // DEN), "left"), np.searchsorted(n_e, int(n[-1]) * DEN // NUM, "right")
+                room = np.minimum(n - -(-NUM * n // DEN), 255).astype(np.uint8)[:, None]
+                for s in range(first, last, COLUMNS):
+                    gone = _gone(coarse_t[:, rows, None], coarse_e[:, None, s : min(s + COLUMNS, last)])
+                    i, j = np.nonzero(gone <= room)
+                    i, j = rows[i], j + s
+                    needed = -(-NUM * np.maximum(n_t[i], n_e[j]) // DEN)
+                    fits = lambda n, a, b: n - np.bitwise_count(a & ~b).sum(0, dtype=np.int64) >= needed  # noqa: B023, E731
+                    likely = fits(n_t[i], bits_t[:, i], bits_e[:, j]) & fits(n_e[j], bits_e[:, j], bits_t[:, i])
+                    for i, j, least in zip(i[likely].tolist(), j[likely].tolist(), needed[likely].tolist()):
+                        x, y = flat_t[at_t[i] : at_t[i + 1]], flat_e[at_e[j] : at_e[j + 1]]
+                        both = int((np.searchsorted(y, x, "right") - np.searchsorted(y, x, "left")).sum())
+                        if both >= least:
+                            found.append((i, j, both))
+            i, j, both = np.array(found, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([pa.array(key_e[j]), pa.array(key_t[i]), pa.array(both.astype(np.int32)), pa.array(n_e[j]), pa.array(n_t[i])], ["key_eval", "key_train", "shared", "n_eval", "n_train"])
+
+    return train.select("key", "n", "bits", "toks").mapInArrow(run, "key_eval long, key_train long, shared int, n_eval int, n_train int")
 
 
 def class_pairs(prepared: DataFrame, is_eval: str) -> DataFrame:
     """(key_eval, key_train, shared, n_eval, n_train): overlapping classes of equal multisets, one evaluation, one training.
 
-    The training side is scanned twice with a filter of evaluation n-grams: to count them, and for those that each
-    evaluation record then looks for. The filter is broadcast while it is good for their number; beyond, all
-    training n-grams are partitioned with them. Pairs meeting in two n-grams (or one subset of few words) are
-    compared by their sketches, which rules out no true pair, and the rest on their whole multisets. Copies of a
-    text are one class, so they add no pairs here.
+    Exact: every training record meets every held-out class whose length fits. Their sketches, which rule out no
+    true pair, leave few pairs, and those are compared by their whole multisets. The held-out classes are broadcast
+    in parts of bounded size and the training side is scanned once for each. Copies of a text are one class, so
+    they add no pairs here.
     """
-    train, held = prepared.where(f"not {is_eval}"), prepared.where(is_eval)
-    asked = stored(_held_grams(held))
-    df = _scan(train, _filter(asked), True).groupBy("sig").agg(F.sum("n").alias("df"))
-    by_rarity = W.partitionBy("key", "kind").orderBy("df", "sig")
-    ranked = asked.join(df, "sig").withColumn("_r", F.row_number().over(by_rarity)).withColumn("_led", F.sum("df").over(by_rarity.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key", "kind")))
-    share = F.when(F.col("kind") == 1, F.lit(SHARE[1])).otherwise(F.lit(SHARE[2]))
-    wanted = stored(ranked.where((F.col("kind") == 0) | ((F.col("_r") <= F.ceil(F.col("_n") * share)) & ((F.col("_led") <= BUDGET) | (F.col("_r") <= FEWEST)))).select("key", "kind", "sig"))
-    hits = _scan(train, _filter(wanted), False).distinct()
-    met = wanted.withColumnRenamed("key", "key_eval").join(hits.withColumnRenamed("key", "key_train"), "sig").groupBy("key_eval", "key_train").agg(F.count(F.lit(1)).alias("_c"), F.min("kind").alias("_k")).where("_c >= 2 or _k = 0").select("key_eval", "key_train")
-    small = lambda side: prepared.where(is_eval if side == "eval" else f"not {is_eval}").groupBy("key").agg(F.first("n").alias(f"n_{side}"), F.first("bits").alias(f"bits_{side}")).withColumnRenamed("key", f"key_{side}")
-    gone = lambda a, b: sum((F.bit_count(F.col(f"bits_{a}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{b}")[i]))) for i in range(SKETCH_WORDS)), F.lit(0))
-    longer = F.greatest("n_eval", "n_train")
-    likely = met.join(small("eval"), "key_eval").join(small("train"), "key_train").where((DEN * F.least("n_eval", "n_train") >= NUM * longer) & (DEN * (F.col("n_eval") - gone("eval", "train")) >= NUM * longer) & (DEN * (F.col("n_train") - gone("train", "eval")) >= NUM * longer))
-    pairs = cut(likely.select("key_eval", "key_train", "n_eval", "n_train"))
-    texts = prepared.select("key", "words")
-    one = lambda side: texts.join(pairs.select(F.col(f"key_{side}").alias("key")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("words").alias(f"words_{side}")).withColumnRenamed("key", f"key_{side}")
-    both = pairs.join(one("eval"), "key_eval").join(one("train"), "key_train")
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [sum((Counter(x.tolist()) & Counter(y.tolist())).values()) for x, y in zip(_lists(b.column(4)), _lists(b.column(5)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.int32()), b.column(2), b.column(3)], ["key_eval", "key_train", "shared", "n_eval", "n_train"])
-
-    counted = both.select("key_eval", "key_train", "n_eval", "n_train", "words_eval", "words_train").mapInArrow(shared, "key_eval long, key_train long, shared int, n_eval int, n_train int")
-    return counted.where(f"{DEN} * shared >= {NUM} * greatest(n_eval, n_train)")
+    train = prepared.where(f"not {is_eval}")
+    held = stored(prepared.where(is_eval).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "bits", "toks")]))
+    parts = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // HELD_WORDS))
+    out = None
+    for k in range(parts):
+        found = _compare(train, train.sparkSession.sparkContext.broadcast(_held(held.where(F.pmod("key", F.lit(parts)) == k).toArrow())))
+        out = found if out is None else out.union(found)
+    return out.distinct()
 
 
 def split_overlaps(rows: DataFrame, record: str, split: str, text: str, carry: list[str], train: str = "train") -> DataFrame:

@@ -271,6 +271,25 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.split_overlaps(df.limit(0), "id", "sp", "txt", ["source_group"]).count() == 0
 
 
+def _brute(rows):
+    known = [(i, s, Counter(t.split())) for i, s, t in rows]
+    return {(i, j) for i, s, a in known for j, z, b in known if s == "train" and z != "train" and 4 * (a & b).total() >= 3 * max(a.total(), b.total())}
+
+
+def _overlaps(spark, rows):
+    df = spark.createDataFrame([(*r, "g") for r in rows], "id string, sp string, txt string, source_group string")
+    return {(r.record_train, r.record_eval) for r in overlap.split_overlaps(df, "id", "sp", "txt", ["source_group"]).collect()}
+
+
+def test_overlaps_of_a_large_family(spark):
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(2000)]
+    mould = [rng.choice(vocabulary) for _ in range(80)]
+    edited = lambda p: " ".join(w if rng.random() > p else rng.choice(vocabulary) for w in mould)
+    rows = [(f"t{i}", "train", edited(0.12)) for i in range(1200)] + [(f"v{i}", "test", edited(p)) for i, p in enumerate((0.0, 0.05, 0.1, 0.15))]
+    assert _overlaps(spark, rows) == _brute(rows)
+
+
 def test_words_ignore_looks():
     assert overlap.words("<b>Ｆｏｏ</b> ba​r, &nbsp;“7”!") == ["foo", "bar", "7"]
 
