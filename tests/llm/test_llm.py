@@ -290,6 +290,24 @@ def test_overlaps_of_a_large_family(spark):
     assert _overlaps(spark, rows) == _brute(rows)
 
 
+@pytest.mark.parametrize("held_words", [None, 500])
+def test_overlaps_near_the_threshold_by_length(spark, monkeypatch, held_words):
+    if held_words:
+        monkeypatch.setattr(overlap, "HELD_WORDS", held_words)
+    rng = random.Random(3)
+    rows, fresh = [], iter(range(10**6))
+    for n in (1, 2, 4, 5, 8, 11, 12, 14, 15, 16, 20, 28, 40, 80, 700):
+        for k in range(4 if n < 100 else 1):
+            a = [f"w{next(fresh)}" for _ in range(n)]
+            for name, kept in (("least", -(-3 * n // 4)), ("more", -(-4 * n // 5)), ("under", -(-3 * n // 4) - 1)):
+                b = a[:kept] + [f"w{next(fresh)}" for _ in range(n - kept)]
+                rng.shuffle(b)
+                rows.append((f"{name}-{n}-{k}", "test", " ".join(b)))
+            rows += [(f"t-{n}-{k}", "train", " ".join(a)), (f"shorter-{n}-{k}", "validation", " ".join(rng.sample(a, -(-3 * n // 4))))]
+    want = _brute(rows)
+    assert _overlaps(spark, rows) == want and {(f"t-{n}-0", f"least-{n}-0") for n in (15, 16, 20, 28, 40, 80, 700)} <= want
+
+
 def test_words_ignore_looks():
     assert overlap.words("<b>Ｆｏｏ</b> ba​r, &nbsp;“7”!") == ["foo", "bar", "7"]
 
