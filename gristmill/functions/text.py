@@ -166,15 +166,30 @@ def file_blocks(x) -> Column:
     return F.map_from_entries(F.transform(safe, lambda s: F.struct(s["p"], s["b"])))
 
 
-def support_spans(chunk_id, x, width: int = 60, stride: int = 50, most: int = 24) -> Column:
-    """array(struct(span_id, text)): overlapping windows of words, at most 600 characters, numbered as kept."""
+def support_spans(chunk_id, x, width: int = 60, overlap: int = 10, limit: int = 600, most: int | None = 24) -> Column:
+    """array(struct(span_id, text)): windows of at most ``width`` whole words and ``limit`` characters, numbered as kept.
+
+    The next window starts ``overlap`` words before the end of the last, one word on at least. A longer word makes a
+    window of its own; windows under 20 characters are left out. Chunks give at most 24; None is for whole documents.
+    """
+    state = "struct<at:int,out:array<struct<s:int,e:int>>>"
+
+    def fitting(w: Column, at: Column) -> Column:
+        add = lambda a, t: F.when((a["chars"] >= 0) & (a["chars"] + F.length(t) <= limit), F.struct((a["n"] + 1).alias("n"), (a["chars"] + F.length(t) + 1).alias("chars"))).otherwise(F.struct(a["n"].alias("n"), F.lit(-1).alias("chars")))
+        return F.greatest(F.aggregate(F.slice(w, at + 1, width), F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars")), add, lambda a: a["n"]), F.lit(1))
 
     def windows(w: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(stride)), lambda i: (i == 0) | (i + (width - stride) < F.size(w)))
-        return F.filter(F.transform(starts, lambda i: F.trim(F.substring(F.array_join(F.slice(w, i + 1, width), " "), 1, 600))), lambda t: F.length(t) >= 20)
+        def step(a: Column, _: Column) -> Column:
+            following = lambda e: F.when(e >= F.size(w), F.size(w)).otherwise(F.greatest(a["at"] + 1, e - overlap))
+            moved = let(a["at"] + fitting(w, a["at"]), lambda e: F.struct(following(e).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("s"), e.alias("e"))).alias("out")).cast(state))
+            return F.when(a["at"] < F.size(w), moved).otherwise(a)
+
+        # Every window starts at a later word than the last, so there are no more windows than words.
+        spans = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state), step, lambda a: a["out"])
+        return F.filter(F.transform(spans, lambda p: F.array_join(F.slice(w, p["s"] + 1, p["e"] - p["s"]), " ")), lambda t: F.length(t) >= 20)
 
     texts = let(F.filter(F.split(normalize_text(x), " "), lambda t: t != ""), windows)
-    return F.transform(F.slice(texts, 1, most), lambda t, i: F.struct(F.concat(chunk_id, F.lit("::span-"), F.lpad((i + 1).cast("string"), 3, "0")).alias("span_id"), t.alias("text")))
+    return F.transform(texts if most is None else F.slice(texts, 1, most), lambda t, i: F.struct(F.concat(chunk_id, F.lit("::span-"), F.format_string("%03d", i + 1)).alias("span_id"), t.alias("text")))
 
 
 def marker_coverage(x, groups: dict[str, list[str]]) -> Column:

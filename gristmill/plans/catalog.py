@@ -152,7 +152,7 @@ def document_chunks(spark, d):
 @query()
 def support_spans(spark, d):
     c = docs(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    return c.select("chunk_id", F.posexplode(T.support_spans(F.col("chunk_id"), F.coalesce("text", F.lit("")))).alias("n", "s")).select("chunk_id", "s.span_id", "s.text")
+    return c.select("chunk_id", F.posexplode(T.support_spans(F.col("chunk_id"), F.coalesce("text", F.lit("")), most=None)).alias("n", "s")).select("chunk_id", "s.span_id", "s.text")
 
 
 @query(f"""

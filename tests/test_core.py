@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import numpy as np
@@ -273,3 +274,34 @@ def test_windows_and_rotations(spark):
     assert len(w) == 4 and w == list(range(w[0], w[0] + 4))
     n = {r.i: r.hard_negative for r in sampling.hard_negatives(df, "g", "i", "v").collect()}
     assert n[100] is None and sorted(n[i] for i in range(9)) == sorted(f"v{i}" for i in range(9)) and all(n[i] != f"v{i}" for i in range(9))
+
+
+def test_support_spans_hold_every_word(spark):
+    def spans(text, most):
+        w, out, at = text.split(), [], 0
+        while at < len(w) and (most is None or len(out) < most):
+            end = min(len(w), at + 60)
+            while end > at + 1 and len(" ".join(w[at:end])) > 600:
+                end -= 1
+            value = " ".join(w[at:end])
+            if len(value) >= 20:
+                out.append((f"c::span-{len(out) + 1:03d}", value))
+            if end >= len(w):
+                break
+            at = max(at + 1, end - 10)
+        return out
+
+    rng = random.Random(8)
+    word = lambda most: "".join(rng.choice("abcäß漢") for _ in range(rng.randrange(1, most)))
+    texts = ["", "too short", " ".join(["x"] * 70), "y" * 700, f"{'a ' * 59}{'b' * 600} c"] + [" ".join(word(m) for _ in range(n)) for n in (12, 60, 61, 400, 1500) for m in (3, 8, 25, 130)] + [" ".join(f"n{i}" for i in range(55_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for most in (24, None):
+        got = {r.i: [tuple(s) for s in r.s] for r in df.select("i", T.support_spans(F.lit("c"), F.col("t"), most=most).alias("s")).collect()}
+        assert got == {i: spans(t, most) for i, t in enumerate(texts)}
+
+
+def test_support_spans_query_keeps_whole_documents(spark, tmp_path):
+    w = [f"word{i}" for i in range(3000)]
+    spark.createDataFrame([(1, " ".join(w)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["support_spans"](spark, str(tmp_path)).collect()
+    assert {r.chunk_id for r in got} == {"1"} and {t for r in got for t in r.text.split()} == set(w)
