@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.canon import normalize_text, stable_hash
+from gristmill.canon import label, normalize_text, stable_hash
 from gristmill.functions import text as T
 from gristmill.operators.corpus import first_by
 
@@ -99,11 +99,11 @@ def native_rows(episodes: DataFrame) -> DataFrame:
 
 
 def instruction_view(rows: DataFrame, user: Column, system: dict[str, str] | None = None) -> DataFrame:
-    """sample_id, messages, split of rows that train; the system text is looked up by stage."""
+    """sample_id, messages, split of rows that train; the system text is looked up by stage in any spelling, empty for others."""
     texts = system or {s: f"Produce the {s.replace('_', ' ')} stage." for s in STAGES}
     table = F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), F.lit(v))])
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return rows.where("loss_mask").select("sample_id", F.array(turn("system", F.coalesce(table[F.col("stage")], F.lit(""))), turn("user", user), turn("assistant", F.col("target"))).alias("messages"), "split")
+    return rows.where("loss_mask").select("sample_id", F.array(turn("system", F.coalesce(table[F.col("stage")], table[label("stage", "_")], F.lit(""))), turn("user", user), turn("assistant", F.col("target"))).alias("messages"), "split")
 
 
 def preference_view(accepted: DataFrame, rejected: DataFrame, key: str, text: str) -> DataFrame:

@@ -562,8 +562,8 @@ select sample_id, 'system: Produce the ' || replace(stage, '_', ' ') || ' stage.
 from native_row where loss_mask and stage in ('framing', 'decomposition', 'private_solving', 'barrier', 'verification', 'continuation', 'synthesis', 'commitment', 'counterfactual', 'root_retention')
 """)
 def instruction_rows(spark, d):
-    n = table(spark, d, "native_row").where(F.col("stage").isin(R.STAGES))
-    v = R.instruction_view(n, F.coalesce("subdomain", F.lit("")))
+    # Every row that trains; the SQL above still leaves out rows whose stage is null or spelled otherwise.
+    v = R.instruction_view(table(spark, d, "native_row"), F.coalesce("subdomain", F.lit("")))
     return v.select("sample_id", R.render_messages("messages").alias("rendered"), "split")
 
 

@@ -305,3 +305,12 @@ def test_support_spans_query_keeps_whole_documents(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(w)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.QUERIES["support_spans"](spark, str(tmp_path)).collect()
     assert {r.chunk_id for r in got} == {"1"} and {t for r in got for t in r.text.split()} == set(w)
+
+
+def test_instruction_rows_keep_every_spelling(spark, tmp_path):
+    stages = ["root_retention", "Private Solving ", "ROOT_RETENTION", "root-retention", "barrier\t", "elsewhere", None]
+    rows = [(f"s{i}", x, None, "{}", True, "train") for i, x in enumerate(stages)] + [("masked", "barrier", None, "{}", False, "train")]
+    spark.createDataFrame(rows, "sample_id string, stage string, subdomain string, target string, loss_mask boolean, split string").write.parquet(f"{tmp_path}/native_row.parquet")
+    got = {r.sample_id: r.rendered.split("\n")[0] for r in catalog.QUERIES["instruction_rows"](spark, str(tmp_path)).collect()}
+    names = ["root retention", "private solving", "root retention", "root retention", "barrier"]
+    assert got == {f"s{i}": f"system: Produce the {n} stage." for i, n in enumerate(names)} | {"s5": "system: ", "s6": "system: "}
