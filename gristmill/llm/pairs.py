@@ -95,32 +95,37 @@ REFUSES = re.compile(
 POLITE = re.compile(
     r"^(?:hello|hi|hmm|hm|well|sorry|apologies|unfortunately|regrettably|no|thanks?|thank you)\W*$|hope (?:you|that|this)|let me know|(?:some|any)thing else|another (?:topic|question|matter)|please (?:ask|contact|consult|try|see|refer|reach)|try the |documentation|you (?:are asking|asked|want|ask) |thank(?:s| you) for|kindly|consult|i understand|understand (?:that|why|your)|apolog|i(?:'|’)?m sorry|i am sorry|tut mir leid|désolée?|lo siento|disculp|perdón|hoffe|espero|j['’]espère|happy to help|feel free"
     r"|entschuldig|bitte |merci|gracias|danke|veuillez|n['’]hésitez|por favor|si (?:tienes|necesita)|autre (?:chose|question|sujet)|otra (?:cosa|pregunta)|andere", re.I)
-#: Words without one of which REFUSES cannot match, and the most words a refusal has (a limit of what counts as one).
+#: Words without one of which REFUSES cannot match, and the words up to which the classifier judges refusals; longer texts go to the exact check.
 TRIGGERS = frozenset(
     "can cannot won will unable able allowed permitted position comfortable prefer rather against outside beyond appropriate ability answer help else something must may going do don off not "
     "nicht ablehnen verweigern lehne keine ne impossible refuser refuse décliner décline pas no rechazar rechazo negarme declinar non не".split()
 ) | {x + y for x in ("declin", "refus", "rule", "rifiut", "отказ") for y in "e ed es s ing al als ò o a ata uto are iamo ывать аться ываюсь аюсь".split()} | {"refused", "refusing", "declined", "declining", "rules", "ruled", "rule"}
-LONGEST_REFUSAL = 80
+JUDGED_REFUSAL = 80
+#: What a thing can fail to do as well as the one who replies, and the words that speak of the reply.
+INABILITY = re.compile(r"(?:can['’]?t|cannot|can not|won['’]?t|will not|unable to|not able to)$", re.I)
+REPLYING = re.compile(r"\b(?:i|we|me|my|our|us|you|your|assistant|model|answer\w*|repl(?:y|ies|ied)|respon[ds]\w*|help\w*|assist\w*|discuss\w*|comment\w*|request\w*|question\w*|topic\w*|advi[cs]e\w*|policy|policies|guidelines?)\b", re.I)
 QUOTED = re.compile(r"[“„«][^”“»]{3,200}[”“»]|\"[^\"\n]{3,200}\"|(?<!\w)‘[^’]{3,200}’(?!\w)")
 SENTENCES = re.compile(r"(?<=[.!?])[\"'”’»)*_]*\s+|\n+")
 
 
 def is_refusal(text: str) -> bool:
-    """Declines, and says nothing else: no sentence of substance stands beside the refusal."""
+    """Declines, and says nothing else: no sentence of substance stands beside the refusal. Most of what a long text declines with speaks of the reply."""
     t = text.strip().strip("*_>` \n\t")
     bare = QUOTED.sub(" ", t)
     if len(words(bare)) < 4:
         bare = t
-    declines, other = 0, 0
-    for s in SENTENCES.split(bare):
-        n = len(words(s))
-        if not n:
-            continue
-        if REFUSES.search(s) and not re.search(r"\b(?:but|however|still|aber|mais|pero)\b\W+(?:the|here|you can|it|this|die|der|das|la|le|el)\b", s, re.I):
+    declines, other, replying = 0, 0, 0
+    sized = [(s, n) for s in SENTENCES.split(bare) if (n := len(words(s)))]
+    total = sum(n for _, n in sized)
+    for s, n in sized:
+        if (m := REFUSES.search(s)) and not re.search(r"\b(?:but|however|still|aber|mais|pero)\b\W+(?:the|here|you can|it|this|die|der|das|la|le|el)\b", s, re.I):
             declines += n
+            replying += n if REPLYING.search(s) or not INABILITY.match(m.group()) else 0
         elif not POLITE.search(s) and n > 3:
             other += n
-    return declines > 0 and other <= 0.5 * declines and declines + other <= LONGEST_REFUSAL
+            if other > 0.5 * (total - other):  # too much, even if all the rest declined
+                return False
+    return declines > 0 and other <= 0.5 * declines and (declines + other <= JUDGED_REFUSAL or other <= 0.5 * replying and declines <= 2 * replying)
 
 
 def is_other_language(text: str, prompt: str) -> bool:
@@ -145,7 +150,7 @@ class Facts:
         self.shared = sum(min(n, counted.get(w, 0)) for w, n in Counter(self.a).items())
         self.end, self.empty = ending(text), is_empty(text)
         self.refuses = self.other = 0
-        if len(self.a) <= LONGEST_REFUSAL and not TRIGGERS.isdisjoint(self.a) and REFUSES.search(text):
+        if len(self.a) <= JUDGED_REFUSAL and not TRIGGERS.isdisjoint(self.a) and REFUSES.search(text):
             for s in SENTENCES.split(text):
                 if s and not s.isspace():
                     r = bool(REFUSES.search(s))
@@ -302,7 +307,7 @@ def defect_of(model: LinearModel, text: str | None, prompt: str) -> str | None:
         return "empty"
     if may[1] and f.b and f.shared >= COPIED * max(len(f.a), f.b):
         return "copies_question"
-    if may[2] and is_refusal(f.text):
+    if (may[2] or len(f.a) > JUDGED_REFUSAL and not TRIGGERS.isdisjoint(f.a)) and is_refusal(f.text):
         return "refusal"
     if may[3] and f.lp[0] and f.lv[0] and f.lp[0] != f.lv[0]:
         return "other_language"

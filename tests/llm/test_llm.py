@@ -308,6 +308,15 @@ def test_overlaps_near_the_threshold_by_length(spark, monkeypatch, held_words):
     assert _overlaps(spark, rows) == want and {(f"t-{n}-0", f"least-{n}-0") for n in (15, 16, 20, 28, 40, 80, 700)} <= want
 
 
+def test_long_refusals_are_refusals():
+    long = "I'm sorry, but I cannot help with this request. I apologise that I am unable to discuss the topic. " * 8
+    policy = "Our policy says that this question cannot be answered, and under these guidelines I will not give advice on it in any form. " * 6
+    model = pairs.LinearModel(np.zeros((len(pairs.DEFECTS), pairs.PAIR + pairs.SLOTS + 1), np.float32), np.ones(len(pairs.DEFECTS), np.float32))
+    assert [pairs.defect_of(model, t, "What is the limit?") for t in (long, policy)] == ["refusal", "refusal"]
+    sound = "Since the test never reached the exporter, the milestone indexer cannot mirror the batch lane alone. " * 8
+    assert not pairs.is_refusal(sound) and not pairs.is_refusal(long + "The cause is the gated observer, which falls to 500 rows. " * 12)
+
+
 def test_words_ignore_looks():
     assert overlap.words("<b>Ｆｏｏ</b> ba​r, &nbsp;“7”!") == ["foo", "bar", "7"]
 
