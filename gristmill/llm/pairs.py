@@ -4,359 +4,373 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.overlap import words
-from gristmill.llm.truncation import broken_words, ending, inner_words
-from gristmill.session import maybe_broadcast, spread, stored, table
+from gristmill.llm.grams import clean, counted, mix, parts, within, word_hashes
+from gristmill.llm.truncation import CUT, HEADING, LABELLED, LIST, SIGNED, done, ending
+from gristmill.session import stored, table
 
 DEFECTS = ["empty", "copies_question", "refusal", "other_language", "truncated"]
-#: Sound pairs (least hashes first) from which training pairs are made; slots of hashed n-grams.
-TRAIN_ROWS, SLOTS = 1200, 1 << 13
-#: Share of the held-out synthetic defects that the calibrated thresholds must let through to the exact check.
-RECALL = 0.998
-
-STAND_INS = frozenset(
-    "n/a,na,n.a,none,null,nil,nan,tbd,tba,todo,empty,blank,missing,pending,undefined,placeholder,no answer,no response,no output,no reply,no content,not available,not provided,not applicable,answer,response,reply,output,result,to do,to be done,to be determined,"
-    "see above,answer here,your answer here,insert answer,insert answer here,keine antwort,sin respuesta,pas de réponse,aucune réponse,lorem ipsum".split(",")
-)
-DIGIT = re.compile(r"\d")
-TAGS = re.compile(r"</?[A-Za-z][^<>]*>|&nbsp;|&#160;")
-
-#: Common words by language; a text's language is the one whose words it holds most of.
+#: Pairs (least hashes first) from which training pairs are made; slots of hashed n-grams.
+TRAIN_ROWS, SLOTS = 1600, 1 << 14
+#: Share of values which are assumed to have a given defect, when a threshold is calibrated.
+PRIOR = 0.05
+
+#: Public common words by language: the evidence for a text's language among the pair features.
 COMMON = {
-    k: frozenset(v.split())
-    for k, v in {
-        "en": "the a an of and to in is that it for on with as was by this from or be are which before until because not its so at then than each every under into without have has",
-        "de": "der die das und ist nicht mit den von zu dem ein eine einen für auf im wird nach sich auch nur bei vor des muss dass wenn ohne aus zum zur als wie noch",
-        "fr": "le la les des et est une du dans que pour pas sur avec ne par au en il qui sans ce cette plus après avant se tout c'est d'abord l'erreur jusqu'à",
-        "es": "el la los las que de y en un una por con para del se no es al lo su como más sin antes después hasta todo pero ya",
-        "it": "il lo la gli le di e che in un una per non con sono della del dello nel alla dal più dopo prima senza tutto è ciò si ogni",
-        "pt": "o a os as que de e em um uma por com para do da não é ao no na mais sem antes depois até tudo se",
-        "nl": "de het een en van is dat niet met op voor te zijn naar bij ook maar dan wordt zonder na elke",
-        "pl": "i w nie na się z do jest że to jak po dla od przed przez tylko oraz",
-    }.items()
+    "de": "der die das und ist nicht mit den von zu dem ein eine einen für auf im wird nach sich auch nur bei vor des muss dass wenn ohne aus zum zur als wie noch",
+    "en": "the a an of and to in is that it for on with as was by this from or be are which before until because not its so at then than each every under into without have has",
+    "es": "el la los las que de y en un una por con para del se no es al lo su como más sin antes después hasta todo pero ya",
+    "fr": "le la les des et est une du dans que pour pas sur avec ne par au en il qui sans ce cette plus après avant se tout jusqu à",
+    "it": "il lo la gli le di e che in un una per non con sono della del dello nel alla dal più dopo prima senza tutto è ciò si ogni",
+    "nl": "de het een en van is dat niet met op voor te zijn naar bij ook maar dan wordt zonder na elke",
+    "pl": "i w nie na się z do jest że to jak po dla od przed przez tylko oraz",
+    "pt": "o a os as que de e em um uma por com para do da não é ao no na mais sem antes depois até tudo se",
 }
-SCRIPTS = {"ru": ("Ѐ", "ӿ"), "el": ("Ͱ", "Ͽ"), "ar": ("؀", "ۿ"), "he": ("֐", "׿"), "hi": ("ऀ", "ॿ"), "ko": ("가", "힣"), "ja": ("぀", "ヿ"), "zh": ("一", "鿿")}
-CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|https?://\S+", re.S)
-LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-
-
 _LANGS = sorted(COMMON)
-_WORD_LANGS = {w: tuple(i for i, k in enumerate(_LANGS) if w in COMMON[k]) for w in frozenset().union(*COMMON.values())}
-
-
-def language(text: str) -> tuple[str | None, float]:
-    """(language, how sure) of a text's prose; (None, 0) if too little of it speaks for any."""
-    if "`" in text or "://" in text:
-        text = CODE.sub(" ", text)
-    w = LETTERS.findall(text.lower().replace("’", "'"))
-    if not w:
-        return None, 0.0
-    if not text.isascii():
-        for k, (a, b) in SCRIPTS.items():
-            if (share := sum(a <= x[0] <= b for x in w) / len(w)) > 0.5:
-                return k, share
-    hits = [0] * len(_LANGS)
-    for x in w:
-        for i in _WORD_LANGS.get(x, ()):
-            hits[i] += 1
-    order = sorted(range(len(hits)), key=lambda i: -hits[i])
-    top, second = hits[order[0]] / len(w), hits[order[1]] / len(w)
-    return (_LANGS[order[0]], top - second) if hits[order[0]] >= 2 and top >= 0.08 and top > 1.2 * second else (None, 0.0)
-
-
-def is_empty(text: str) -> bool:
-    """Nothing, or only a stand-in for nothing."""
-    t = TAGS.sub(" ", text)
-    if DIGIT.search(t):
-        return False
-    w = words(t)
-    return not w or (len(w) <= 4 and (" ".join(w) in STAND_INS or "/".join(w) in STAND_INS) and not t.strip().endswith((".", "!", "?")))
-
-
-def overlap(a: list[str], b: list[str]) -> int:
-    return sum((Counter(a) & Counter(b)).values())
-
-
-REFUSES = re.compile(
-    r"\b(?:can['’]?t|cannot|can not|won['’]?t|will not|unable to|not able to|not allowed|not permitted|(?:am|be) permitted|not in a position|feel comfortable|declin\w+|refus\w+|prefer not|rather (?:not|stay)|against my|against the (?:rules|guidelines|policy)|outside (?:of )?(?:my|what i)|beyond my|rules? (?:this|that|it)|not (?:be )?appropriate|have the ability|no answer (?:can|is|will)|no help|(?:somebody|someone) else|not something i|must not|may not|not going to|do not (?:do|answer|discuss)|don['’]t (?:do|answer|discuss)|off limits|not for me)\b"
-    r"|\bnicht (?:\w+ )?(?:helfen|beantworten|weiterhelfen|dienen|antworten|bearbeiten|erfüllen|nachkommen|möglich|erlaubt|gestattet)\b|\b(?:ablehnen|verweigern|lehne)\b|\bkeine (?:antwort|auskunft|hilfe)\b"
-    r"|\bne (?:peux|puis|pourrai|suis|saurais|souhaite|veux) (?:malheureusement )?pas\b|\b(?:impossible de|refuser|refuse|décliner|décline)\b|\bpas (?:en mesure|autorisée?|possible)\b"
-    r"|\bno (?:puedo|podré|me es posible|estoy|me está permitido|debo|es posible|voy a)\b|\b(?:rechazar|rechazo|negarme|declinar)\b"
-    r"|\bnon (?:posso|mi è possibile|sono in grado)\b|\brifiut\w+\b|\bне могу\b|\bотказ\w+\b", re.I)
-POLITE = re.compile(
-    r"^(?:hello|hi|hmm|hm|well|sorry|apologies|unfortunately|regrettably|no|thanks?|thank you)\W*$|hope (?:you|that|this)|let me know|(?:some|any)thing else|another (?:topic|question|matter)|please (?:ask|contact|consult|try|see|refer|reach)|try the |documentation|you (?:are asking|asked|want|ask) |thank(?:s| you) for|kindly|consult|i understand|understand (?:that|why|your)|apolog|i(?:'|’)?m sorry|i am sorry|tut mir leid|désolée?|lo siento|disculp|perdón|hoffe|espero|j['’]espère|happy to help|feel free"
-    r"|entschuldig|bitte |merci|gracias|danke|veuillez|n['’]hésitez|por favor|si (?:tienes|necesita)|autre (?:chose|question|sujet)|otra (?:cosa|pregunta)|andere", re.I)
-#: Words without one of which REFUSES cannot match, and the words up to which the classifier judges refusals; longer texts go to the exact check.
-TRIGGERS = frozenset(
-    "can cannot won will unable able allowed permitted position comfortable prefer rather against outside beyond appropriate ability answer help else something must may going do don off not "
-    "nicht ablehnen verweigern lehne keine ne impossible refuser refuse décliner décline pas no rechazar rechazo negarme declinar non не".split()
-) | {x + y for x in ("declin", "refus", "rule", "rifiut", "отказ") for y in "e ed es s ing al als ò o a ata uto are iamo ывать аться ываюсь аюсь".split()} | {"refused", "refusing", "declined", "declining", "rules", "ruled", "rule"}
-JUDGED_REFUSAL = 80
-#: What a thing can fail to do as well as the one who replies, and the words that speak of the reply.
-INABILITY = re.compile(r"(?:can['’]?t|cannot|can not|won['’]?t|will not|unable to|not able to)$", re.I)
-REPLYING = re.compile(r"\b(?:i|we|me|my|our|us|you|your|assistant|model|answer\w*|repl(?:y|ies|ied)|respon[ds]\w*|help\w*|assist\w*|discuss\w*|comment\w*|request\w*|question\w*|topic\w*|advi[cs]e\w*|policy|policies|guidelines?)\b", re.I)
-QUOTED = re.compile(r"[“„«][^”“»]{3,200}[”“»]|\"[^\"\n]{3,200}\"|(?<!\w)‘[^’]{3,200}’(?!\w)")
-SENTENCES = re.compile(r"(?<=[.!?])[\"'”’»)*_]*\s+|\n+")
-
-
-def is_refusal(text: str) -> bool:
-    """Declines, and says nothing else: no sentence of substance stands beside the refusal. Most of what a long text declines with speaks of the reply."""
-    t = text.strip().strip("*_>` \n\t")
-    bare = QUOTED.sub(" ", t)
-    if len(words(bare)) < 4:
-        bare = t
-    declines, other, replying = 0, 0, 0
-    sized = [(s, n) for s in SENTENCES.split(bare) if (n := len(words(s)))]
-    total = sum(n for _, n in sized)
-    for s, n in sized:
-        if (m := REFUSES.search(s)) and not re.search(r"\b(?:but|however|still|aber|mais|pero)\b\W+(?:the|here|you can|it|this|die|der|das|la|le|el)\b", s, re.I):
-            declines += n
-            replying += n if REPLYING.search(s) or not INABILITY.match(m.group()) else 0
-        elif not POLITE.search(s) and n > 3:
-            other += n
-            if other > 0.5 * (total - other):  # too much, even if all the rest declined
-                return False
-    return declines > 0 and other <= 0.5 * declines and (declines + other <= JUDGED_REFUSAL or other <= 0.5 * replying and declines <= 2 * replying)
-
-
-def is_other_language(text: str, prompt: str) -> bool:
-    p, v = language(prompt), language(text)
-    return bool(p[0] and v[0] and p[0] != v[0])
-
-
-class Facts:
-    """What features and checks need to know of one pair, found once."""
-
-    __slots__ = ("text", "a", "b", "shared", "end", "lp", "lv", "empty", "refuses", "other")
-    prompts: dict[str, tuple[Counter, int, tuple]] = {}
-
-    def __init__(self, text: str, prompt: str):
-        if prompt not in Facts.prompts:
-            if len(Facts.prompts) > 5000:
-                Facts.prompts.clear()
-            w = words(prompt)
-            Facts.prompts[prompt] = Counter(w), len(w), language(prompt)
-        counted, self.b, self.lp = Facts.prompts[prompt]
-        self.text, self.a, self.lv = text, words(text), language(text)
-        self.shared = sum(min(n, counted.get(w, 0)) for w, n in Counter(self.a).items())
-        self.end, self.empty = ending(text), is_empty(text)
-        self.refuses = self.other = 0
-        if len(self.a) <= JUDGED_REFUSAL and not TRIGGERS.isdisjoint(self.a) and REFUSES.search(text):
-            for s in SENTENCES.split(text):
-                if s and not s.isspace():
-                    r = bool(REFUSES.search(s))
-                    self.refuses += r
-                    self.other += not r and not POLITE.search(s)
-
-
-#: Share of the longer one's words which a copied question and the prompt have in common at least.
-COPIED = 0.78
-
-
-def copies(text: list[str], prompt: list[str]) -> bool:
-    """The prompt again, whole and at most lightly changed, and nothing else."""
-    return len(prompt) > 0 and overlap(text, prompt) >= COPIED * max(len(text), len(prompt))
-
-
-CUT = ("mark", "character", "block", "record", "row", "escape", "sentence")
-
-
-PAIR = 64
-_ENDS = ("complete", "unsure", *CUT)
-
-
-def pair_features(f: Facts) -> list[int]:
-    """Numbers of the pair's own features that hold."""
-    part = lambda x, n: min(n - 1, int(x * n))
-    n = len(f.a)
-    return [
-        part(f.shared / max(1, n, f.b), 10),
-        10 + part(f.shared / max(1, f.b), 10),
-        20 + min(9, (n + 1).bit_length() - 1),
-        30 + _ENDS.index(f.end),
-        40 + (0 if not (f.lp[0] and f.lv[0]) else 1 + (f.lp[0] != f.lv[0])),
-        43 + f.empty,
-        45 + min(4, f.refuses),
-        50 + min(4, f.other),
-        55 + (not f.a),
-        57 + any("Ͱ" <= x[0] <= "ⴀ" for x in f.a[:20]),
-    ]
-
-
-class _Slots(dict):
-    def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        got = self[w] = xxhash.xxh32_intdigest(w)
-        return got
-
-
-_SLOTS = _Slots()
-
-
-def features(f: Facts) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, value) of a pair: its own features, then hashed words and pairs of words, scaled by their number."""
-    h = np.array([_SLOTS[w] for w in f.a], np.int64)
-    low = f.text[-4:].lower()
-    ends = [_SLOTS["$" + low[-k:]] for k in (1, 2, 4)] + [_SLOTS["^" + w] for w in f.a[:3]]
-    grams = np.concatenate([h, (h[:-1] * 31 + h[1:] * 17 + 7), np.array(ends, np.int64)]) % SLOTS + PAIR
-    on = pair_features(f)
-    return np.concatenate([np.array(on, np.int64), grams]), np.concatenate([np.ones(len(on)), np.full(len(grams), 1.0 / np.sqrt(1.0 + len(grams)))])
-
-
-REFUSAL_PARTS = {
-    "en": (["", "I'm sorry, but ", "Unfortunately, ", "Regrettably, ", "As an assistant ", "At this time ", "Thank you for asking, but ", "Sorry. ", "I apologise; "], ["I cannot", "I can't", "I won't", "I will not", "I am not able to", "I am unable to", "I must refuse to", "I have to decline to", "I would prefer not to", "I am not allowed to", "I am not in a position to", "I don't feel comfortable trying to"], ["help with", "answer", "discuss", "comment on", "work on", "give advice on", "assist with"], ["this", "that request", "this question", "such a task", "matters like this", "the topic"], [".", " for policy reasons.", " under my guidelines.", ", since it could cause harm.", " because it is outside my scope.", ". I hope you understand.", ". Please ask someone else."]),
-    "en2": (["", "", "Sorry. ", "Hello! ", "Thanks for asking. "], ["No answer can be given here", "No reply is possible on this", "Request denied", "The request is refused", "This lies outside of what I do here", "This goes beyond what I am for", "My instructions do not permit this", "My rules exclude this subject", "You should ask somebody else about it", "That is nothing I may talk about", "It would be wrong for me to reply to this", "I would sooner stay out of it", "This is against my rules, so there is no answer"], [".", "; please consult a specialist.", ". Ask something else.", ". I hope that is all right.", ". Is there another topic?"]),
-    "de": (["", "Leider ", "Es tut mir leid, aber "], ["kann ich", "darf ich", "möchte ich"], ["dabei", "diese Frage", "diese Anfrage", "das"], ["nicht beantworten", "nicht bearbeiten", "nicht unterstützen", "leider ablehnen"], ["."]),
-    "fr": (["", "Malheureusement, ", "Je suis désolé, mais "], ["je ne peux pas", "je ne suis pas en mesure de", "je dois refuser de"], ["répondre à", "traiter", "commenter"], ["cette demande", "cette question", "ce sujet"], ["."]),
-    "es": (["", "Lo siento, pero ", "Por desgracia, "], ["no puedo", "no me es posible", "debo negarme a"], ["responder a", "comentar", "tratar"], ["esta solicitud", "esta pregunta", "ese tema"], ["."]),
-}
 
 
-def synthetic(rng: random.Random, base: list[tuple[str, str]]) -> list[tuple[str, str, int | None]]:
-    """(text, prompt, defect or none): sound pairs, and the same made defective in each way."""
-    by_lang: dict[str | None, list[str]] = {}
-    for p, a in base:
-        by_lang.setdefault(language(a)[0], []).append(a)
-    langs = sorted(k for k in by_lang if k)
-    out: list[tuple[str, str, int | None]] = []
-    for p, a in base:
-        out.append((a, p, None))
-        if len(a) > 60:
-            cut_at = rng.randrange(30, len(a) - 5)
-            t = a[:cut_at]
-            out.append((t + rng.choice(["", "", "", "...", "…", ","]), p, 4 if ending(t) in CUT else None))
-        w = p.split()
-        if w and rng.random() < 0.5:
-            kept = [x for x in w if rng.random() > 0.06]
-            out.append((rng.choice(["", "> ", "Question: "]) + " ".join(kept), p, 1))
-        if rng.random() < 0.3:
-            out.append((p + "\n\n" + a, p, None))
-        own = language(p)[0]
-        others = [k for k in langs if k != own]
-        if own and others:
-            out.append((rng.choice(by_lang[rng.choice(others)]), p, 3))
-        lang = own if own in REFUSAL_PARTS and rng.random() < 0.8 else rng.choice(["en", "en2"])
-        said = "".join(x if x.startswith((".", ",", " ")) or not x else x + ("" if x.endswith(" ") else " ") for x in (rng.choice(c) for c in REFUSAL_PARTS[lang])).replace(" .", ".").replace(" ,", ",").replace("  ", " ").strip()
-        out.append((rng.choice([said, said, said.lower(), "**" + said + "**", "> " + said, "Hello! " + said]), p, 2))
-        if rng.random() < 0.2:
-            out.append((f"The reply “{said}” was logged. " + a, p, None))
-            out.append(("I can't see all of it from here, but the way is clear. " + a, p, None))
-        if rng.random() < 0.3:
-            out.append((rng.choice(["", " ", "\n", "N/A", "null", "None", "TBD", "...", "-", "<p></p>", "{}", "[no answer]", "(empty)", "Answer:", "​"]), p, 0))
-            out.append((rng.choice(["Yes", "No", "Both", f"{rng.randrange(1, 999)} rows", "0", "Option A", "None of these.", "Nothing new."]), p, None))
-    return out
+def _stop_table() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all common words, and the bits of their languages."""
+    bits: dict[int, int] = {}
+    for i, k in enumerate(_LANGS):
+        for h in word_hashes(clean(pa.array([COMMON[k]])))[1].tolist():
+            bits[h] = bits.get(h, 0) | 1 << i
+    keys = np.array(sorted(bits), np.uint64)
+    return keys, np.array([bits[int(k)] for k in keys], np.int64)
+
+
+_STOPS, _STOP_BITS = _stop_table()
+_QUICK = np.zeros(1 << 16, bool)
+_QUICK[(_STOPS & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+
+def languages(row: np.ndarray, h: np.ndarray, foreign: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(language, how sure from 0 to 3) of every row's words; -1 if none speaks for any, 8 for letters that are not Latin."""
+    maybe = np.flatnonzero(_QUICK[(h & np.uint64(0xFFFF)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(_STOPS, h[maybe]), len(_STOPS) - 1)
+    hit = _STOPS[at] == h[maybe]
+    r, bits = row[maybe][hit], _STOP_BITS[at[hit]]
+    hits = np.stack([np.bincount(r[(bits >> i & 1) > 0], minlength=n) for i in range(len(_LANGS))], 1)
+    order = np.sort(hits, 1)
+    sure = np.digitize(order[:, -1] - order[:, -2], [1, 3, 6])
+    best = np.where(sure > 0, hits.argmax(1), -1)
+    words = np.bincount(row, minlength=n)
+    strange = foreign > np.maximum(2, words)
+    return np.where(strange, len(_LANGS), best), np.where(strange, 3, sure)
+
+
+PAIR = 512
+_KINDS = ("complete", "unsure", *CUT)
+_QUOTED = re.compile(r"[“„«]([^”“»]{3,})[”“»]|\"([^\"\n]{3,})\"")
+_STOP = re.compile(r"[.!?。][\"'”’»)\]]*(?:\s|$)")
+
+
+def _tail(t: str) -> list[int]:
+    """Numbers of a text's ending: below PAIR what kind it is, from PAIR on hashes."""
+    t = t.rstrip()
+    if not t:
+        return [200]
+    kind = _KINDS.index(ending(t))
+    last = t[t.rfind("\n") + 1 :].strip()
+    line = 1 if LIST.match(last) else 2 if HEADING.match(last) or SIGNED.match(last) else 3 if last.startswith("|") else 4 if last.endswith("```") else 0
+    rest = _STOP.split(last)[-1] if line == 0 else last
+    after = min(5, len(rest.split()))
+    if line == 0 and LABELLED.match(rest or " "):
+        line = 5
+    c = t[-1]
+    char = 0 if c.isalpha() else 1 if c.isdigit() else 2 if done(t) else 3 if c in "”\"'’»)]}`*_|>" else 4 if c in ",;:-–—/(“„«=" else 5
+    whole = len(last) == len(t)
+    i = len(last)
+    while i and not last[i - 1].isalpha():
+        i -= 1
+    j = i
+    while j and last[j - 1].isalpha():
+        j -= 1
+    w = hash_text(last[j:i].lower())
+    quoted = sum(len(a) + len(b) for a, b in _QUOTED.findall(t)) / len(t) if not {"“", "„", "«", '"'}.isdisjoint(t) else 0.0
+    return [160 + (quoted > 0) + (quoted > 0.2) + (quoted > 0.95), 201 + kind, 330 + (kind > 1), 212 + line * 6 + after, 250 + line * 6 + char, 290 + kind * 2 + whole, 312 + line * 2 + whole, PAIR + (w >> 7) % SLOTS, PAIR + (hash_text(t[-2:].lower()) >> 5) % SLOTS]
+
+
+def hash_text(s: str) -> int:
+    """A 64-bit hash that is the same in every process."""
+    got = _HASHES.get(s)
+    if got is None:
+        if len(_HASHES) > 300_000:
+            _HASHES.clear()
+        h = 0xCBF29CE484222325
+        for b in s.encode("utf-8", "surrogatepass"):
+            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        got = _HASHES[s] = (h ^ h >> 29) & 0xFFFFFFFFFFFFFFFF
+    return got
+
+
+_HASHES: dict[str, int] = {}
+
+
+def features(texts: pa.Array, prompts: pa.Array, last_words: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, slot, value, language of the text) of pairs: pair features, then hashed words and adjacent pairs of words scaled by their number; ``last_words`` adds hashes of a text's end."""
+    n = len(texts)
+    raw = ["" if t is None else t for t in texts.to_pylist()]
+    ct, cp = clean(texts), clean(prompts)
+    (rt, ht), (rp, hp) = word_hashes(ct), word_hashes(cp)
+    foreign = [pc.count_substring_regex(c, r"[^\p{Latin}\P{L}]").to_numpy(zero_copy_only=False) for c in (ct, cp)]
+    a, b = np.bincount(rt, minlength=n), np.bincount(rp, minlength=n)
+    key, owner = counted(rt, ht)
+    asked, _ = counted(rp, hp)
+    shared = np.bincount(owner[within(key, asked)], minlength=n)
+    (lt, st), (lp, sp) = languages(rt, ht, foreign[0], n), languages(rp, hp, foreign[1], n)
+    part = lambda x, k: np.minimum(k - 1, (x * k).astype(np.int64))
+    size = np.minimum(10, np.ceil(np.log2(a + 1))).astype(np.int64)
+    differ = np.where((lt < 0) | (lp < 0), 0, np.where(lt == lp, 1, 2))
+    copied = part(shared / np.maximum(1, np.maximum(a, b)), 25)
+    fixed = np.stack(
+        [
+            copied,
+            25 + part(shared / np.maximum(1, a), 10),
+            35 + part(shared / np.maximum(1, b), 10),
+            46 + size,
+            60 + differ * 16 + st * 4 + sp,
+            110 + differ * 11 + size,
+            145 + np.minimum(4, part(foreign[0] / np.maximum(1, pc.utf8_length(ct).to_numpy(zero_copy_only=False)), 5)),
+            np.where(a == 0, 150, 151),
+            152 + differ,
+            155 + (shared >= 0.8 * np.maximum(a, b)) * (b > 0),
+        ],
+        1,
+    )
+    tails = [_tail(t) for t in raw]
+    if not last_words:
+        tails = [[x for x in t if x < PAIR] for t in tails]
+    # n-grams, with the text's first word as well
+    slot = lambda h: PAIR + (h % np.uint64(SLOTS)).astype(np.int64)
+    same = rt[1:] == rt[:-1]
+    first = np.flatnonzero(np.append(True, ~same)) if len(rt) else np.zeros(0, np.int64)
+    pair = mix(ht[:-1] * np.uint64(31) + ht[1:])[same]
+    blocks = [
+        (np.repeat(np.arange(n), fixed.shape[1]), fixed.ravel(), False),
+        (np.repeat(np.arange(n), [len(t) for t in tails]), np.array([x for t in tails for x in t], np.int64), False),
+        (rt, slot(ht), True), (rt[1:][same], slot(pair), True), (rt[first], slot(mix(ht[first] + np.uint64(77))), True),
+    ]
+    counts = [np.bincount(r, minlength=n) for r, _, _ in blocks]
+    starts = np.concatenate([[0], np.cumsum(np.sum(counts, 0))]).astype(np.int64)
+    cols, vals, at, scale = np.zeros(starts[-1], np.int64), np.ones(starts[-1], np.float32), starts[:-1].copy(), (1.0 / np.sqrt(1.0 + 2.0 * a)).astype(np.float32)
+    for (r, c, scaled), count in zip(blocks, counts):  # each block is in order of rows
+        to = np.repeat(at - np.cumsum(count) + count, count) + np.arange(len(r))
+        cols[to] = c
+        if scaled:
+            vals[to] = scale[r]
+        at += count
+    return starts, cols, vals, lt
 
 
 class LinearModel:
-    """One logistic regression per defect over shared sparse features, fitted by full-batch Adam."""
+    """One logistic regression per defect over shared sparse features, fitted by mini-batches of Adagrad."""
 
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
+    def scores(self, starts: np.ndarray, cols: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        if len(starts) == 1:
+            return np.zeros((0, len(DEFECTS)), np.float32)
+        return np.add.reduceat(self.weights[cols] * vals[:, None], starts[:-1]) + self.weights[-1]
+
+    def margins(self, texts: pa.Array, prompts: pa.Array) -> np.ndarray:
+        """Score less threshold of every pair and defect: 0 or more is a defect."""
+        out = [self.scores(*features(texts.slice(a, b - a), prompts.slice(a, b - a))[:3]) for a, b in parts(pc.binary_join_element_wise(pc.fill_null(texts, ""), pc.fill_null(prompts, ""), ""))]
+        return np.concatenate(out or [np.zeros((0, len(DEFECTS)), np.float32)]) - self.thresholds
+
+    def defects(self, texts: pa.Array, prompts: pa.Array) -> list[str | None]:
+        """The defect of the greatest margin of each pair, None for sound ones."""
+        m = self.margins(texts, prompts)
+        best = m.argmax(1) if len(m) else []
+        return [DEFECTS[k] if m[i, k] >= 0 else None for i, k in enumerate(best)]
+
     @classmethod
-    def fit(cls, pairs: list[tuple[str, str, int | None]], steps: int = 60) -> LinearModel:
-        if not pairs:  # nothing to learn from: every value goes to the exact checks
-            return cls(np.zeros((len(DEFECTS), PAIR + SLOTS + 1), np.float32), np.zeros(len(DEFECTS), np.float32))
-        rows = [features(Facts(t, p)) for t, p, _ in pairs]
-        length = np.array([len(r[0]) for r in rows])
-        at = np.repeat(np.arange(len(rows)), length)
-        col, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        held = np.arange(len(rows)) % 5 == 0
-        size = PAIR + SLOTS + 1
-        weights, thresholds = np.zeros((len(DEFECTS), size), np.float32), np.zeros(len(DEFECTS), np.float32)
-        for d in range(len(DEFECTS)):
-            y = np.array([x == d for _, _, x in pairs], np.float64)
-            use = np.where(held, 0.0, np.where(y > 0, 0.5 / max(1.0, (y * ~held).sum()), 0.5 / max(1.0, ((1 - y) * ~held).sum())))
-            w, m, s = np.zeros(size), np.zeros(size), np.zeros(size)
-            for t in range(1, steps + 1):
-                z = np.bincount(at, val * w[col], len(rows)) + w[-1]
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * use
-                grad = np.bincount(col, val * g[at], size) + 1e-6 * w
-                grad[-1] = g.sum()
-                m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
-                w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
-            z = np.bincount(at, val * w[col], len(rows)) + w[-1]
-            good = np.sort(z[held & (y > 0)])
-            thresholds[d] = min(good[int((1 - RECALL) * len(good))], 0.0) - 0.5 if len(good) else 0.0
-            weights[d] = w
-        return cls(weights, thresholds)
-
-    def scores(self, f: Facts) -> np.ndarray:
-        at, val = features(f)
-        return self.weights[:, at] @ val.astype(np.float32) + self.weights[:, -1]
-
-
-def defect_of(model: LinearModel, text: str | None, prompt: str) -> str | None:
-    """The defect of a value, None if sound; "open" for a truncated one only if its last word proves broken.
-
-    The classifier names the candidates; the exact check of the named defect confirms one, in the order of DEFECTS.
-    """
-    f = Facts(text or "", prompt)
-    may = model.scores(f) >= model.thresholds
-    if may[0] and f.empty:
-        return "empty"
-    if may[1] and f.b and f.shared >= COPIED * max(len(f.a), f.b):
-        return "copies_question"
-    if (may[2] or len(f.a) > JUDGED_REFUSAL and not TRIGGERS.isdisjoint(f.a)) and is_refusal(f.text):
-        return "refusal"
-    if may[3] and f.lp[0] and f.lv[0] and f.lp[0] != f.lv[0]:
-        return "other_language"
-    if may[4] and f.end in CUT and (len(f.a) > 2 or f.end == "mark"):
-        return "truncated"
-    return "open" if f.end == "unsure" and len(f.a) > 4 else None
+    def fit(cls, texts: pa.Array, prompts: pa.Array, labels: np.ndarray, passes: int = 12, last_words: bool = True, size: int = 512, seed: int = 3) -> LinearModel:
+        """Labels are numbers of DEFECTS, -1 for sound pairs. A fifth of the pairs calibrates the thresholds."""
+        weights, thresholds = np.zeros((PAIR + SLOTS + 1, len(DEFECTS)), np.float32), np.ones(len(DEFECTS), np.float32)
+        if not len(labels):  # nothing to learn from: nothing is called defective
+            return cls(weights, thresholds)
+        starts, cols, vals, _ = features(texts, prompts, last_words)
+        y = (labels[:, None] == np.arange(len(DEFECTS))).astype(np.float32)
+        held = np.arange(len(labels)) % 5 == 0
+        learn = np.flatnonzero(~held)
+        cost = np.where(y > 0, 0.5 / np.maximum(1, y[learn].sum(0)), 0.5 / np.maximum(1, (1 - y[learn]).sum(0))) * len(learn)
+        rng, total = np.random.default_rng(seed), np.full_like(weights, 1e-3)
+        model = cls(weights, thresholds)
+        for _ in range(passes):
+            rng.shuffle(learn)
+            for lo in range(0, len(learn), size):
+                rows = learn[lo : lo + size]
+                count = starts[rows + 1] - starts[rows]
+                at = np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                c, v, first = cols[at], vals[at], np.concatenate([[0], np.cumsum(count)])
+                z = model.scores(first, c, v)
+                g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * cost[rows]).astype(np.float32) / len(rows)
+                per = np.repeat(np.arange(len(rows)), count)
+                grad = np.stack([np.bincount(c, v * g[per, d], len(weights)) for d in range(len(DEFECTS))], 1).astype(np.float32) + 1e-5 * weights
+                grad[-1] = g.sum(0)
+                total += grad * grad
+                weights -= 0.3 * grad / np.sqrt(total)
+        thresholds[:] = _calibrated(model.scores(starts, cols, vals)[held], y[held])
+        return model
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Per defect the score at which a held-out pair is as likely sound as defective, a share PRIOR being so: Platt's sigmoid, which a few mislabelled pairs hardly move."""
+    out = np.ones(y.shape[1], np.float32)
+    for d in range(y.shape[1]):
+        x, t = z[:, d].astype(np.float64), y[:, d] > 0
+        pos, neg = t.sum(), (~t).sum()
+        if not pos or not neg:
+            continue
+        goal, weight = np.where(t, (pos + 1) / (pos + 2), 1 / (neg + 2)), np.where(t, PRIOR / pos, (1 - PRIOR) / neg)
+        slope, shift = 1.0, 0.0
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -30, 30)))
+            g, w = weight * (p - goal), weight * np.maximum(p * (1 - p), 1e-6)
+            hess = np.array([[(w * x * x).sum() + 1e-9, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
+            step = np.clip(np.linalg.solve(hess, [(g * x).sum(), g.sum()]), -2, 2)
+            slope, shift = max(1e-3, slope - step[0]), shift - step[1]
+        out[d] = -shift / slope
+    return out
+
+
+#: Parts of made refusals by language, replies that say nothing, and short sound replies: the training's synthetic values.
+REFUSALS = {
+    "en": [(["", "I'm sorry, but ", "Unfortunately, ", "Regrettably, ", "As an assistant ", "At this time ", "Thank you for asking, but ", "Sorry. ", "I apologise; "], ["I cannot", "I can't", "I can’t", "I won't", "I will not", "I am not able to", "I am unable to", "I must refuse to", "I must decline to", "I have to decline to", "I would prefer not to", "I am not allowed to", "I am not in a position to", "I don't feel comfortable trying to"], [" help with", " answer", " discuss", " comment on", " work on", " carry out", " give advice on", " assist with", " say anything about"], [" this", " that", " that request", " this question", " such a task", " matters like this", " the topic", " anything about {0}", " the {0}"], [".", " for policy reasons.", " under my guidelines.", ", since it could cause harm.", " because it is outside my scope."], ["", "", " I hope you understand.", " Please ask a qualified person about it.", " Is there something else you need?", " Let me know if there is another topic."]),
+           (["", "", "Sorry. ", "Hello! ", "Thanks for asking. "], ["No answer can be given here", "No reply is possible on this", "Request denied", "The request is refused", "This lies outside of what I do here", "This goes beyond what I am for", "My instructions do not permit this", "My rules exclude this subject", "You should ask somebody else about it", "That is nothing I may talk about", "It would be wrong for me to reply to this", "I would sooner stay out of it", "This is against my rules, so there is no answer"], [".", "; please consult a specialist.", ". Ask something else.", ". I hope that is all right.", ". Is there another topic?"])],
+    "de": [(["", "Leider ", "Es tut mir leid, aber "], ["kann ich", "darf ich", "möchte ich"], [" dabei", " diese Frage", " diese Anfrage", " das"], [" nicht beantworten", " nicht bearbeiten", " nicht helfen", " nicht unterstützen", " leider ablehnen"], ["."]), (["Diese Anfrage muss ich ablehnen.", "Dazu darf ich keine Auskunft geben.", "Eine Antwort ist mir nicht möglich."],)],
+    "fr": [(["", "Malheureusement, ", "Je suis désolé, mais "], ["je ne peux pas", "je ne suis pas en mesure de", "je dois refuser de", "il m'est impossible de"], [" répondre", " traiter", " commenter", " aider"], ["", " à cette demande", " cette question", " ce sujet"], ["."])],
+    "es": [(["", "Lo siento, pero ", "Por desgracia, "], ["no puedo", "no me es posible", "debo negarme a"], [" responder", " comentar", " ayudar", " tratar"], ["", " a esta solicitud", " con esta pregunta", " ese tema"], ["."])],
+}
+STAND_INS = ["", " ", "\n", "N/A", "n/a", "NA", "null", "None", "nil", "NaN", "TBD", "TODO", "...", "…", "-", "--", "?", "<p></p>", "<answer></answer>", "<div> </div>", "&nbsp;", "{}", "[]", "[no answer]", "(empty)", "(none)", "[blank]", "no response", "No output", "not available", "Answer:", "Response:", "Output:", "placeholder", "to be done", "​", "﻿", "```\n```", "\"\"", "."]
+SHORT = ["Yes", "No", "Both", "Neither", "None of these.", "Nothing new.", "Option {1}", "{0} rows", "{0}", "{0} percent", "{0} minutes", "About {0}.", "{0}.{0} hours", "The {1} one", "It depends.", "Not yet."]
+LEADS = ["", "", "", "> ", "Question: ", "Task: ", "Prompt - ", "* ", "You asked: ", "**"]
+
+
+def _said(rng: random.Random, lang: str, thing: str) -> str:
+    said = "".join(rng.choice(c) for c in rng.choice(REFUSALS[lang])).replace("{0}", thing)
+    said = said[:1].upper() + said[1:]
+    return rng.choice([said, said, said, said.lower(), f"**{said}**", f"> {said}", "Hello! " + said])
+
+
+def _copied(rng: random.Random, prompt: str) -> str:
+    """The prompt with a few words left out, changed, joined or marked."""
+    out = []
+    for w in prompt.split(" "):
+        x = rng.random()
+        if x < 0.03:
+            continue
+        if x < 0.06 and len(w) > 4:
+            k = rng.randrange(1, len(w) - 2)
+            w = rng.choice([w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "​" + w[k:], w + w[-1], w.upper()])
+        out.append(w)
+    t = rng.choice(LEADS) + rng.choice([" ", " ", " ", "  ", "\n", "\u00a0"]).join(out)
+    return rng.choice([t, t, t, t.upper(), t.lower(), t.rstrip(".?!") + rng.choice(["", " -", "!", ";"]), t.replace(". ", ".\n* "), f"<p>{t}</p>", "  " + t + " \t"])
+
+
+def synthetic(rng: random.Random, base: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """(text, prompt, defect or -1): sound pairs (prompt, text, language), and the same cut, copied, swapped, refused and emptied."""
+    by_lang: dict[int, list[str]] = {}
+    for _, a, k in base:
+        by_lang.setdefault(k, []).append(a)
+    langs = sorted(k for k in by_lang if k >= 0 and len(by_lang[k]) > 2)
+    out: list[tuple[str, str, int]] = []
+    for p, a, own in base:
+        out.append((a, p, -1))
+        body = a.rstrip()
+        for low in (25, len(body) // 2, len(body) * 4 // 5):
+            if len(body) > 60:
+                at = rng.randrange(low, len(body) - 2)
+                if body[at] != "\n" and not done(body[:at].rstrip()):
+                    out.append((body[:at] + rng.choice(["", "", "", "", "...", "…", ",", " -", " [truncated]"]), p, 4))
+        words = p.split()
+        if words:
+            if rng.random() < 0.6:
+                out.append((_copied(rng, p), p, 1))
+            if rng.random() < 0.3:
+                out.append((rng.choice([p + "\n\n" + a, a + "\n\n" + p]), p, -1))
+        others = [k for k in langs if k != own]
+        if own >= 0:
+            out.append((rng.choice(by_lang[own]), p, -1))  # swapped within the language: complete, if wrong
+            if others:
+                out.append((rng.choice(by_lang[rng.choice(others)]), p, 3))
+        lang = _LANGS[own] if 0 <= own < len(_LANGS) and _LANGS[own] in REFUSALS and rng.random() < 0.8 else "en"
+        thing = " ".join(words[3:5]) or "it"
+        said = _said(rng, lang, thing)
+        out.append((said, p, 2))
+        if rng.random() < 0.3:
+            out.append((" ".join(_said(rng, lang, thing) for _ in range(rng.randrange(2, 12))), p, 2))
+        if rng.random() < 0.3:
+            q = rng.choice(["“{}”", "\"{}\"", "«{}»"]).format(said)
+            out.append((f"The reply {q} was logged. " + a, p, -1))
+            out.append((rng.choice(["The tool printed {} since its setting was wrong.", "It said {} in two of three runs.", "{} is what the older version prints for {1} here.", "They quote {} as the cause."]).replace("{}", q).replace("{1}", thing), p, -1))
+            out.append(("I can't see all of it from here, but the way is clear. " + a, p, -1))
+        if rng.random() < 0.4:
+            out.append((rng.choice(STAND_INS), p, 0))
+            out.append((rng.choice(SHORT).replace("{0}", str(rng.randrange(1, 5000))).replace("{1}", rng.choice("ABCDE")), p, -1))
+        if rng.random() < 0.2:
+            out.append((a + rng.choice(["\n\nTotal: 5 rows", " Result = 41 units", "\n- first item\n- second item: 7 parts", "\n\n| a | b |\n|---|---|\n| x | 1 |", "\n\n```\nreturn x\n```", "\n\n## Notes", "\n-- the editors"]), p, -1))
+    return out
 
 
 def train(pairs: DataFrame, prompt: str, text: str, order: str, rows: int = TRAIN_ROWS, seed: int = 3) -> LinearModel:
-    """Fits the model on at most ``rows`` sound-looking pairs (those of the least hashes), made defective in known ways."""
-    usable = pairs.where(F.length(text).between(61, 5999) & (F.length(prompt) > 20))
+    """Fits the model on at most ``rows`` pairs (those of the least hashes), made defective in known ways.
+
+    The sampled pairs are taken as sound first; those that the first model calls defective are left out of the second.
+    The first does without last words, so that it cannot learn the sample's own cuts by heart.
+    """
+    usable = pairs.where((F.length(text) > 60) & (F.length(prompt) > 20))
     share = min(1.0, 4.0 * rows / max(1, usable.count()))
     h = F.xxhash64(order, F.lit(seed))
     least = usable.where(h < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else usable
-    sample = least.select(prompt, text, h.alias("h")).orderBy("h", text).limit(2 * rows).collect()
-    base = [(p, a) for p, a, _ in sample if ending(a) in ("complete", "unsure") and not is_refusal(a) and not is_other_language(a, p) and not copies(words(a), words(p))][:rows]
-    return LinearModel.fit(synthetic(random.Random(seed), base))
+    base = [(p, a) for p, a, _ in least.select(prompt, text, h.alias("h")).orderBy("h", text).limit(rows).collect()]
+    model = LinearModel.fit(pa.array([], pa.string()), pa.array([], pa.string()), np.zeros(0, np.int64))
+    for passes in (4, 12):
+        if not base:
+            break
+        prompts, texts = (pa.array(c, pa.string()) for c in zip(*base))
+        spoken = features(texts, prompts)[3].tolist()
+        made = synthetic(random.Random(seed), [(p, a, k) for (p, a), k in zip(base, spoken)])
+        t, p, y = zip(*made)
+        model = LinearModel.fit(pa.array(t, pa.string()), pa.array(p, pa.string()), np.array(y), passes, passes > 4)
+        if passes == 4:
+            base = [b for b, m in zip(base, model.margins(texts, prompts).max(1)) if m < 0]
+    return model
 
 
 def broken_pairs(pairs: DataFrame, record: str, field: str, prompt: str, text: str) -> DataFrame:
-    """(record, field, defect) of every defective value; repeated rows count once.
+    """(record, field, defect) of every value which the classifier calls defective, with its defect of the greatest margin.
 
-    A null text is empty; a null prompt is an empty one, with which nothing can be compared; null records are left
-    out. Very long texts are judged whole. An empty table gives no rows.
+    A null text is an empty one; so is a null prompt, with which nothing can be compared. Null records are left out,
+    repeated rows count once, very long texts are judged whole. Too few pairs to learn from give no defects, an
+    empty table no rows.
     """
-    pairs = stored(pairs.where(F.col(record).isNotNull()).select(record, field, F.coalesce(prompt, F.lit("")).alias("prompt"), F.col(text).alias("text")))
+    pairs = stored(pairs.where(F.col(record).isNotNull()).select(record, field, F.coalesce(prompt, F.lit("")).alias("prompt"), F.coalesce(text, F.lit("")).alias("text")))
     model = pairs.sparkSession.sparkContext.broadcast(train(pairs, "prompt", "text", record))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            defect, last = [], []
-            for t, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                d = defect_of(model.value, t, p)
-                found = LETTERS.findall(t[-80:].lower()) if d == "open" and t.rstrip()[-1].isalpha() else []
-                defect.append(d)
-                last.append(found[-1] if found else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(defect, pa.string()), pa.array(last, pa.string())], [record, field, "defect", "last_word"])
+            found = pa.array(model.value.defects(b.column(2), b.column(3)), pa.string())
+            at = pc.indices_nonzero(pc.is_valid(found))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), found.take(at)], [record, field, "defect"])
 
-    seen = pairs.select(record, field, "text", "prompt").mapInArrow(run, f"`{record}` string, `{field}` string, defect string, last_word string").where("defect is not null")
-    seen = stored(seen.distinct())
-    broken = stored(broken_words(seen, stored(inner_words(pairs, ["text", "prompt"]))))
-    cut_off = seen.where("defect = 'open'").join(maybe_broadcast(broken, broken.count()), "last_word", "left_semi").select(record, field, F.lit("truncated").alias("defect"))
-    return seen.where("defect <> 'open'").select(record, field, "defect").union(cut_off).distinct()
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in (record, field))
+    return pairs.select(record, field, "text", "prompt").mapInArrow(run, f"{kinds}, defect string").distinct()
 
 
 def answered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "teacher_task").groupBy("task_id").agg(F.max("prompt").alias("prompt"))
-    c = spread(table(spark, sf_dir, "candidate")).select(F.col("candidate_id").alias("record_id"), F.lit("answer").alias("field"), "task_id", F.col("answer").alias("text"))
-    k = spread(table(spark, sf_dir, "critique"))
+    c = table(spark, sf_dir, "candidate").select(F.col("candidate_id").alias("record_id"), F.lit("answer").alias("field"), "task_id", F.col("answer").alias("text"))
+    k = table(spark, sf_dir, "critique")
     for f in ("corrected_answer", "hard_negative"):
         c = c.union(k.select(F.col("critique_id").alias("record_id"), F.lit(f).alias("field"), "task_id", F.col(f).alias("text")))
     return c.join(tasks, "task_id", "left").select("record_id", "field", "prompt", "text")

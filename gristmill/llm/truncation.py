@@ -31,9 +31,9 @@ LENGTHS = {
 
 #: Marks of a cut that say so, and dots that mean one unless a sentence ended before them.
 SAID = re.compile(r"(?:\[\s*(?:truncated|cut|snip|more|continued|text truncated|\.\.\.|…)\s*\]|\((?:truncated|cut off|continued|more)\)|<truncated>|\[\+\d+ chars\])$", re.I)
-DOTS = re.compile(r"(?:…|\.\.\.)$")
 ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3})?|&(?:[A-Za-z]{1,7}|#x?[0-9A-Fa-f]{0,6})?|<[/!]?[A-Za-z]*|%[0-9A-Fa-f]?|[‌‍])$")
-DONE = re.compile(r"[.!?。！？؟](?:[\"'”’»)\]*_`]|</\w+>)*$")
+_CLOSERS = "\"'”’»)]*_`"
+_CLOSED = re.compile(r"</\w+>$")
 LIST = re.compile(r"^\s*(?:[-*•‣◦–+]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+\S")
 HEADING = re.compile(r"^\s*(?:#{1,6}(?:\s|$)|={3,}|-{3,}|\*{3,}|_{3,})")
 SIGNED = re.compile(r"^\s*(?:--|—|–)\s*\S")
@@ -48,6 +48,22 @@ GLUE = frozenset(
 )
 
 
+#: Endings that show a cut.
+CUT = ("mark", "character", "block", "record", "row", "escape", "sentence")
+
+
+def done(t: str) -> bool:
+    """Whether a text ends with a sentence, before closing quotes, brackets, marks and tags."""
+    while True:
+        t = t.rstrip(_CLOSERS)
+        if not t.endswith(">"):
+            return t.endswith((".", "!", "?", "。", "！", "？", "؟"))
+        at = t.rfind("</")
+        if at < 0 or not _CLOSED.match(t[at:]):
+            return False
+        t = t[:at]
+
+
 def open_record(text: str) -> bool:
     """Whether a JSON text stops within a string or before its brackets are closed."""
     depth, quoted = 0, False
@@ -69,25 +85,26 @@ def ending(text: str) -> str:
     t = text.rstrip()
     if not t:
         return "complete"
-    if SAID.search(t) or ((m := DOTS.search(t)) and not DONE.search(t[: m.start()].rstrip() or ".")):
+    tail = t[-64:]  # longer than any mark or escape
+    if SAID.search(tail) or (t.endswith(("…", "...")) and not done(t[: -1 if t[-1] == "…" else -3].rstrip() or ".")):
         return "mark"
     if t[-1] == "�":
         return "character"
     if t.count("```") % 2:
         return "block"
-    if t[0] in "{[" and t[:400].count('"') and open_record(t):
+    if t[0] in "{[" and '"' in t and open_record(t):
         return "record"
     if t.endswith("```"):
         return "complete"
-    lines = t.split("\n")
-    last = lines[-1].strip()
-    if last.startswith("|") or (len(lines) > 2 and lines[-2].lstrip().startswith("|")):
+    at = t.rfind("\n") + 1
+    last, line = t[at:].strip(), t[t.rfind("\n", 0, max(0, at - 1)) + 1 : max(0, at - 1)]
+    if last.startswith("|") or line.lstrip().startswith("|"):
         return "complete" if last.endswith("|") else "row"
-    if DONE.search(t):
+    if done(t):
         return "complete"
     if t[0] in "{[" and t[-1] in "}]":
         return "complete"
-    if ESCAPE.search(t) and not last.endswith(("&", "%")):
+    if ESCAPE.search(tail) and not last.endswith(("&", "%")):
         return "escape"
     if HEADING.match(last) or SIGNED.match(last) or LABELLED.match(last):
         return "unsure"

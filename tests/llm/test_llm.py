@@ -1,17 +1,19 @@
 """Each operator against brute force or exact round trips, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import random
+import re
 import time
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, capping, components, leakage, overlap, packing, pairs, queries, quota, selection, splits, splitting, sql, truncation
+from gristmill.llm import bpe, capping, components, grams, leakage, overlap, packing, pairs, queries, quota, selection, splits, splitting, sql, truncation
 
 #: Columns whose names the operators use inside, as extra input columns.
 CLASH = "key long, n int, words string, sig string, rank int, container long, ending string, _h long, _bin int, component long, split_ string, bin int, quota long"
@@ -308,15 +310,6 @@ def test_overlaps_near_the_threshold_by_length(spark, monkeypatch, held_words):
     assert _overlaps(spark, rows) == want and {(f"t-{n}-0", f"least-{n}-0") for n in (15, 16, 20, 28, 40, 80, 700)} <= want
 
 
-def test_long_refusals_are_refusals():
-    long = "I'm sorry, but I cannot help with this request. I apologise that I am unable to discuss the topic. " * 8
-    policy = "Our policy says that this question cannot be answered, and under these guidelines I will not give advice on it in any form. " * 6
-    model = pairs.LinearModel(np.zeros((len(pairs.DEFECTS), pairs.PAIR + pairs.SLOTS + 1), np.float32), np.ones(len(pairs.DEFECTS), np.float32))
-    assert [pairs.defect_of(model, t, "What is the limit?") for t in (long, policy)] == ["refusal", "refusal"]
-    sound = "Since the test never reached the exporter, the milestone indexer cannot mirror the batch lane alone. " * 8
-    assert not pairs.is_refusal(sound) and not pairs.is_refusal(long + "The cause is the gated observer, which falls to 500 rows. " * 12)
-
-
 def test_words_ignore_looks():
     assert overlap.words("<b>Ｆｏｏ</b> ba​r, &nbsp;“7”!") == ["foo", "bar", "7"]
 
@@ -351,32 +344,59 @@ def test_truncation(spark):
     assert truncation.truncated_texts(df.limit(0), "d", "t", "s").count() == 0
 
 
+@pytest.fixture(scope="module")
+def judge(spark):
+    """The classifier as trained on sf0.01."""
+    return pairs.train(pairs.answered_prompts(spark, "/root/testdata/sf0.01").where("prompt is not null and record_id is not null"), "prompt", "text", "record_id")
+
+
+PROMPT = "Explain why the shard of the archive falls behind the index and what the board should do before the next release. Compare two ways to restart it."
+SOUND = "The shard falls behind because the index keeps every window of the archive. Move it to the next node before the release, then restart it and check the log."
+
+
 @pytest.mark.parametrize(
-    ("text", "yes"),
+    ("text", "defect"),
     [
-        ("I'm sorry, but I can't help with that.", True), ("**My instructions rule this topic out.**", True), ("Leider kann ich dabei nicht helfen.", True), ("No puedo ayudar con eso.", True), ("Je ne peux pas répondre.", True),
-        ("I can't see the file from here, but the fix is clear. Move the shard to the next node and restart it.", False), ("The model replied “I cannot help with that” because the flag was off.", False), ("The index cannot grow the tree alone.", True), ("Restart the node.", False),
+        ("I'm sorry, but I can't help with that.", "refusal"), ("**My instructions do not allow this topic.**", "refusal"), ("Leider kann ich dabei nicht helfen.", "refusal"), ("No puedo ayudar con eso.", "refusal"), ("Je ne peux pas répondre.", "refusal"),
+        ("I'm sorry, but I cannot help with this request. I apologise that I am unable to discuss the topic. " * 8, "refusal"),
+        ("I can't see the file from here, but the fix is clear. Move the shard to the next node and restart it.", None), ("The model replied “I cannot help with that” because the flag was off.", None), ("The index cannot grow the tree alone.", None), ("Restart the node.", None),
+        ("Since the test never reached the exporter, the milestone indexer cannot mirror the batch lane alone. " * 8, None),
+        *[(x, "empty") for x in ("", " ", "N/A", "<p> </p>", "None", "{}", "...", "[no answer]", "Answer:", "\ufeff", None)], *[(x, None) for x in ("0", "No", "Yes", "None of them.", "Both", SOUND)],
+        ("Das Archiv ist nicht so schnell wie der Index, weil die Fenster nach dem Umbau zu klein sind und die Leitung das nicht sieht.", "other_language"), ("Это не так, и мы это видим: индекс после проверки не меняется ночью.", "other_language"),
+        (PROMPT.upper(), "copies_question"), ("Task: " + PROMPT.replace("board", "baord"), "copies_question"), (PROMPT + " " + SOUND, None), (SOUND[:-20], "truncated"), (SOUND + " Then the arch", "truncated"), (SOUND + "\n\n```python\nx = restart(", "truncated"), (SOUND + "\n\nTotal: 5 rows", None),
     ],
 )
-def test_refusal_check(text, yes):
-    assert pairs.is_refusal(text) == yes
+def test_judged_values(judge, text, defect):
+    assert judge.defects(pa.array([text], pa.string()), pa.array([PROMPT])) == [defect]
+
 
+def test_the_classifier_decides(judge):
+    """Without its weights nothing is a defect, and with no thresholds everything is one."""
+    t, p = pa.array([SOUND, "", PROMPT]), pa.array([PROMPT] * 3)
+    assert pairs.LinearModel(np.zeros_like(judge.weights), judge.thresholds * 0 + 1).defects(t, p) == [None] * 3
+    assert None not in pairs.LinearModel(judge.weights, judge.thresholds * 0 - 1000).defects(t, p)
 
-def test_empty_and_language_checks():
-    assert all(pairs.is_empty(x) for x in ("", " ", "N/A", "<p> </p>", "None", "{}", "...", "[no answer]", "Answer:", "﻿"))
-    assert not any(pairs.is_empty(x) for x in ("0", "No", "Yes", "None of them.", "Both"))
-    assert pairs.language("Das ist nicht der Weg, den die Leute mit dem Plan gehen.")[0] == "de" and pairs.language("Это не так, и мы это видим.")[0] == "ru"
+
+def test_word_hashes_are_those_of_words():
+    rng = random.Random(4)
+    texts = ["", None, " ", "a", "Ünï-cödé wörds; “quoted”\u200b x", "<b>Bold</b> &nbsp; 7", *(" ".join("".join(rng.choice("abcdefgh7") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(60))) for _ in range(40)), "x" * 9000]
+    row, h = grams.word_hashes(grams.clean(pa.array(texts, pa.string())))
+    seen = {}
+    for r, w, k in zip(row.tolist(), (w for t in texts for w in overlap.words(t or "")), h.tolist()):
+        assert seen.setdefault(w, k) == k
+    assert len(row) == sum(len(overlap.words(t or "")) for t in texts) and np.bincount(row, minlength=len(texts)).tolist() == [len(overlap.words(t or "")) for t in texts] and len(set(seen.values())) == len(seen)
 
 
 def test_broken_pairs_on_held_out_defects(spark, sf):
-    """Defects made from sound pairs that the training never saw are found; sound ones pass."""
-    src = pairs.answered_prompts(spark, "/root/testdata/sf0.01").where("field = 'answer'")
-    sound = [(r.prompt, r.text) for r in src.collect() if r.text and len(r.text) > 80 and r.text.rstrip().endswith(".") and not pairs.is_refusal(r.text) and not pairs.is_other_language(r.text, r.prompt) and not pairs.copies(pairs.words(r.text), pairs.words(r.prompt))]
+    """Defects made from sound pairs in other ways than the training's are found; sound ones pass."""
+    src = pairs.answered_prompts(spark, "/root/testdata/sf0.01").where("field = 'answer' and prompt is not null").orderBy("record_id")
+    alike = lambda a, b: len(set(overlap.words(a)) & set(overlap.words(b))) / len(set(overlap.words(b)))
+    sound = [(r.prompt, r.text) for r in src.collect() if r.text and len(r.text) > 80 and r.text.rstrip().endswith(".") and "the" in overlap.words(r.text) and "the" in overlap.words(r.prompt) and alike(r.text, r.prompt) < 0.5 and not re.search(r"\b(?:I|my|this question)\b", r.text)]
     rng = random.Random(8)
     rows, want = [], {}
-    for i, (p, t) in enumerate(sound[:160]):
-        kind = (None, "empty", "truncated", "refusal", "copies_question")[i % 5]
-        value = {None: t, "empty": rng.choice(["", None, "n/a", "-"]), "truncated": t[: len(t) * 2 // 3].rstrip(" .") + " of the", "refusal": "Sorry, I am not able to answer this question.", "copies_question": p.upper()}[kind]
+    for i, (p, t) in enumerate(sound):
+        kind = {3: "empty", 9: "truncated", 15: "refusal", 21: "copies_question"}.get(i % 30)
+        value = {None: t, "empty": rng.choice(["", None, "n/a", "-"]), "truncated": t[: len(t) * 2 // 3].rstrip(" .") + rng.choice([" of the", " and", " ga", "...", " (see"]), "refusal": "Sorry, I am not able to answer this question.", "copies_question": p.upper()}[kind]
         rows.append((f"r{i}", "answer", p, value))
         if kind:
             want[f"r{i}"] = kind
@@ -385,7 +405,7 @@ def test_broken_pairs_on_held_out_defects(spark, sf):
     df = clash(spark.createDataFrame(rows, "id string, f string, p string, v string"))
     got = {r.id: r.defect for r in pairs.broken_pairs(df, "id", "f", "p", "v").collect()}
     right = sum(got.get(k) == v for k, v in want.items())
-    assert right >= 0.95 * len(want) and sum(k not in want for k in got) <= 2
+    assert len(want) > 40 and right >= 0.95 * len(want) and sum(k not in want for k in got) <= 2
     assert pairs.broken_pairs(df.limit(0), "id", "f", "p", "v").count() == 0
 
 
