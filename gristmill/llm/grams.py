@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text taken at a time; a longer text is taken alone.
 CHUNK = 2_000_000
+_CONTROL = r"[\x00-\x08\x0E-\x1B\x7F]+"
 _WIDE = r"[^\p{L}\p{N}\x00-\x7F]+"
 _MARKUP = r"</?[A-Za-z][^<>]*>|&(?:[a-z]{2,8}|#\d{1,6});"
 _SHOWN = np.zeros(256, bool)
@@ -32,6 +33,9 @@ def clean(texts: pa.Array) -> pa.Array:
         t = pc.utf8_normalize(texts.filter(wide), "NFKC")
         t = pc.replace_substring_regex(t, r"[\p{Cf}\p{Mn}]+", "")
         texts = pc.replace_with_mask(texts, wide, t)
+    odd = pc.match_substring_regex(texts, _CONTROL)
+    if pc.any(odd).as_py():
+        texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(texts.filter(odd), _CONTROL, ""))
     marked = pc.match_substring_regex(texts, r"[<&]")
     if pc.any(marked).as_py():
         texts = pc.replace_with_mask(texts, marked, pc.replace_substring_regex(texts.filter(marked), _MARKUP, " "))

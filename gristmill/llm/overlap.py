@@ -1,4 +1,4 @@
-"""Problem 1: same or near-same records across splits, every training record against every held-out one of fitting length."""
+"""Problem 1: same or near-same records across splits, by an index of the held-out records' n-gram hashes."""
 
 from __future__ import annotations
 
@@ -8,19 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.canon import label
+from gristmill.llm.grams import clean, mix, parts, word_hashes
 from gristmill.session import cut, spread, stored, table
 
 #: Two records overlap if they share NUM / DEN of the longer one's words.
 NUM, DEN = 3, 4
-#: Words of a record's sketch, and how many of them the first comparison folds it to.
-SKETCH_WORDS, COARSE = 8, 4
-#: The held-out side is broadcast in parts of so many words; a comparison takes so many training by held-out records.
-HELD_WORDS, ROWS, COLUMNS = 4_000_000, 32, 2048
+#: Words which a pair must share among the first ones of its records, if it shares as many at all.
+HITS = 3
+#: Training records of up to so many words are looked for by pairs of their first words, longer ones by single words.
+SHORT = 150
+#: The held-out index is broadcast up to so many words, else partitioned; hits counted at a time; words of a sketch.
+HELD_WORDS, EXPANDED, SKETCH_WORDS = 2_000_000, 2_000_000, 8
+#: Words held by more records than all words divided by this come last by their counts; so there are at most so many.
+COMMON = 200_000
 
 WORDS = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[a-z]{2,8}|#\d{1,6});")
@@ -36,130 +40,232 @@ def words(text: str) -> list[str]:
     return WORDS.findall(text.casefold())
 
 
-class _Hashes(dict):
-    """64-bit hash of a word, or of (word, occurrence), remembered."""
+def _order(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Places in order of (row, value), ties as they come; values from -1 below 2^39 or unsigned below 2^40, rows below 2^24."""
+    value = value.astype(np.int64) + (value.dtype.kind == "i")
+    return np.argsort(row.astype(np.int64) << 40 | value, kind="stable")
 
-    def __missing__(self, w) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        got = self[w] = xxhash.xxh64_intdigest(w if isinstance(w, str) else w[0].to_bytes(8, "little"), 0 if isinstance(w, str) else w[1])
-        return got
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Words which a record of n words must share with any longer or equal one."""
+    return -(-NUM * n // DEN)
 
-def numbered(seq: list[int], hashes: _Hashes) -> np.ndarray:
-    """Each word with its number of occurrence as one hash, sorted: equal multisets give equal arrays."""
-    seen: dict[int, int] = {}
-    out = []
-    for w in seq:
-        k = seen[w] = seen.get(w, 0) + 1
-        out.append(hashes[w, k])
-    return np.sort(np.array(out, np.uint64))
 
+def prepare(df: DataFrame, carry: list[str], text: str) -> DataFrame:
+    """carry, n, key, toks: number of words, multiset hash and hashes of (word, occurrence) in order of each text; texts without words are left out."""
+    names = [*carry, "n", "key", "toks"]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
 
-def sketch(toks: np.ndarray) -> np.ndarray:
-    """Bits of the numbered words: a word missing in another record clears at most one bit of the common ones."""
-    bits = np.zeros(SKETCH_WORDS, np.uint64)
-    at = toks % np.uint64(SKETCH_WORDS * 64)
-    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return bits
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in parts(whole.column(len(carry))):
+                batch = whole.slice(a, b - a)
+                row, h = word_hashes(clean(batch.column(len(carry))))
+                order = _order(row, h >> np.uint64(24))
+                row, h = row[order], h[order]
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+                nth = np.arange(len(h)) - np.repeat(new, np.diff(np.append(new, len(h))))
+                tok = mix(h + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+                order = _order(row, tok >> np.uint64(24))
+                row, tok = row[order], tok[order]
+                at, n = np.unique(row, return_counts=True)
+                starts = np.concatenate([[0], np.cumsum(n)])
+                key = mix(np.add.reduceat(mix(tok), starts[:-1])) if len(at) else np.zeros(0, np.uint64)
+                take = pa.array(at.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(carry))), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(tok.view(np.int64)))], names)
+
+    return df.select(*carry, text).mapInArrow(run, f"{kinds}, n int, key long, toks array<long>")
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a column of lists and where each list starts, with the end."""
     size = col.value_lengths().to_numpy(zero_copy_only=False)
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def _gone(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits of sketches ``a`` that ``b`` lacks, the first axis being the sketch's words; 256 counts as 0 in 8 bits."""
-    out = np.bitwise_count(a[0] & ~b[0])
-    for x, y in zip(a[1:], b[1:]):
-        out += np.bitwise_count(x & ~y)
-    return out
+def grams(rank: np.ndarray, known: np.ndarray, flat: np.ndarray, starts: np.ndarray, held: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(record, hash) of the n-grams a record is looked for by: pairs of its first words in order of rank, or single ones if long.
 
-
-def prepare(df: DataFrame, carry: list[str], text: str) -> DataFrame:
-    """carry, n, key, toks, bits: number, multiset hash, sorted hashes (see numbered()) and sketch of each text's words; texts without words are left out."""
-    names = [*carry, "n", "key", "toks", "bits"]
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    Words count in any order, so an n-gram is made of words as sorted, not as written. Records that share k words
+    share at least min(HITS, k) among the first n - k + HITS of each, in any order common to both sides. Held-out
+    records of a length that both kinds of training records can match have both kinds. Words that are not ``known``
+    to the other side take their place but make no n-gram.
+    """
+    n = np.diff(starts)
+    row = np.repeat(np.arange(len(n)), n)
+    order = _order(row, rank)  # ties in the order of hashes, as both sides hold them
+    inside = np.arange(len(order)) - np.repeat(starts[:-1], n)
+    order = order[inside < np.repeat(np.minimum(n, n - least_shared(n) + HITS), n)]
+    order = order[known[order]]
+    row, tok = row[order], flat[order].view(np.uint64)
+    m = np.bincount(row, minlength=len(n))
+    first = np.concatenate([[0], np.cumsum(m)])[:-1]
+    short = n <= (SHORT * DEN // NUM if held else SHORT)
+    long = n > (SHORT * NUM // DEN if held else SHORT)
+    rows, out = [], []
+    for size in np.unique(m[short]):
+        at = np.flatnonzero(short & (m == size))
+        t = tok[first[at][:, None] + np.arange(size)]
+        i, j = np.triu_indices(size, 1)
+        rows.append(np.repeat(at, len(i)))
+        out.append(mix(t[:, i] * np.uint64(0x9E3779B97F4A7C15) + t[:, j]).ravel())
+    one = (n[row] == 1) | long[row]
+    rows.append(row[one])
+    out.append(mix(tok[one] ^ np.uint64(0x5851F42D4C957F2D)))
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def needed_hits(n_train: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """N-grams in common of a pair that shares ``least`` words."""
+    k = np.minimum(HITS, least)
+    return np.where(n_train > SHORT, k, np.maximum(1, k * (k - 1) // 2))
+
+
+def sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bits of each record's words: a word that another record lacks clears at most one bit of the common ones."""
+    bit = (flat.view(np.uint64) % np.uint64(SKETCH_WORDS * 64)).astype(np.int64)
+    bits = np.zeros((len(starts) - 1) * SKETCH_WORDS, np.uint64)
+    np.bitwise_or.at(bits, np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * SKETCH_WORDS + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return bits.reshape(-1, SKETCH_WORDS)
+
+
+class HeldIndex:
+    """Inverted index of the held-out classes by n-grams of their rarest words, met by training records in batches."""
+
+    def __init__(self, held: pa.Table):
+        held = held.combine_chunks()
+        self.key, self.n = held.column("key").to_numpy(), held.column("n").to_numpy().astype(np.int64)
+        toks = held.column("toks").combine_chunks()
+        flat, starts = _flat(toks.combine_chunks() if isinstance(toks, pa.ChunkedArray) else toks)
+        self.vocabulary, word, count = np.unique(flat, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(count), np.int64)
+        self.rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        row, h = grams(self.rank[word], np.ones(len(flat), bool), flat, starts, True)
+        order = np.argsort(h)
+        self.owner = row[order].astype(np.int32)
+        self.gram, count_h = np.unique(h[order], return_counts=True)
+        self.first = np.concatenate([[0], np.cumsum(count_h)])
+        self.bits = sketches(flat, starts)
+        owner = np.repeat(np.arange(len(self.n)), np.diff(starts))
+        self.pairs = np.sort(owner * len(count) + word)  # (class, word), for the exact count
+
+    def search(self, n: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(record, class, words shared) of every overlapping pair."""
+        none = np.zeros(0, np.int64)
+        if not len(self.n) or not len(n):
+            return none, none, none
+        word = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
+        known = self.vocabulary[word] == flat
+        row, h = grams(np.where(known, self.rank[word], -1), known, flat, starts, False)
+        place = np.minimum(np.searchsorted(self.gram, h), len(self.gram) - 1)
+        met = self.gram[place] == h
+        row, place = row[met], place[met]
+        order = np.argsort(row, kind="stable")
+        row, start = row[order], self.first[place[order]]
+        many = self.first[place[order] + 1] - start
+        upto, out, lo = np.cumsum(many), [], 0
+        bits = sketches(flat, starts)
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + EXPANDED, "right")))
+            hi = int(np.searchsorted(row, row[hi - 1], "right"))  # whole records
+            m = many[lo:hi]
+            at = np.repeat(start[lo:hi] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            pair = np.repeat(row[lo:hi] * len(self.n), m) + self.owner[at]
+            pair.sort()
+            new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+            hits = np.diff(np.append(new, len(pair)))
+            r, c = pair[new] // len(self.n), pair[new] % len(self.n)
+            least = least_shared(np.maximum(n[r], self.n[c]))
+            likely = (np.minimum(n[r], self.n[c]) >= least) & (hits >= needed_hits(n[r], least))
+            r, c, least = r[likely], c[likely], least[likely]
+            gone = lambda n, a, b: n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64) >= least  # noqa: B023, E731
+            likely = gone(n[r], bits[r], self.bits[c]) & gone(self.n[c], self.bits[c], bits[r])
+            out.append((r[likely], c[likely], least[likely]))
+            lo = hi
+        if not out:
+            return none, none, none
+        r, c, least = (np.concatenate(x) for x in zip(*out))
+        shared = np.zeros(len(r), np.int64)
+        for lo in range(0, len(r), 50_000):  # the exact check: whole multisets of words
+            s = slice(lo, lo + 50_000)
+            size = n[r[s]]
+            t = np.repeat(starts[r[s]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            wanted = np.repeat(c[s], size) * len(self.vocabulary) + word[t]
+            hit = (self.pairs[np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)] == wanted) & known[t]
+            shared[s] = np.bincount(np.repeat(np.arange(len(size)), size)[hit], minlength=len(size))
+        good = shared >= least
+        return r[good], c[good], shared[good]
+
+
+_FOUND = ["key_eval", "key_train", "shared", "n_eval", "n_train"]
+_KINDS = "key_eval long, key_train long, shared int, n_eval int, n_train int"
+
+
+def _broadcast_pairs(train: DataFrame, held: DataFrame) -> DataFrame:
+    """Overlapping classes by one scan of the training side past the broadcast index."""
+    index = train.sparkSession.sparkContext.broadcast(HeldIndex(held.select("key", "n", "toks").toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        h = index.value
         for b in batches:
-            row, n, key, flat, offsets, bits = [], [], [], [], [0], []
-            for i, t in enumerate(b.column(len(carry)).to_pylist()):
-                seq = [hashes[w] for w in words(t)] if t else []
-                if seq:
-                    toks = numbered(seq, hashes)
-                    row.append(i), n.append(len(seq)), flat.append(toks), offsets.append(offsets[-1] + len(seq))
-                    key.append(xxhash.xxh64_intdigest(toks.tobytes()))
-                    bits.append(sketch(toks))
-            at = pa.array(row, pa.int32())
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(len(carry))), pa.array(n, pa.int32()), signed(key), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(np.concatenate(flat) if flat else [])), pa.ListArray.from_arrays(pa.array(range(0, SKETCH_WORDS * len(row) + 1, SKETCH_WORDS), pa.int32()), signed(np.concatenate(bits) if bits else []))], names)
-
-    return df.select(*carry, text).mapInArrow(run, f"{kinds}, n int, key long, toks array<long>, bits array<long>")
-
+            _, one = np.unique(b.column(0).to_numpy(), return_index=True)  # copies are one class
+            b = b.take(pa.array(one))
+            n = b.column(1).to_numpy().astype(np.int64)
+            r, c, shared = h.search(n, *_flat(b.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.key[c]), pa.array(b.column(0).to_numpy()[r]), pa.array(shared.astype(np.int32)), pa.array(h.n[c].astype(np.int32)), pa.array(n[r].astype(np.int32))], _FOUND)
 
-def _held(classes: pa.Table) -> tuple[np.ndarray, ...]:
-    """key, n, sketches, words and their starts, in order of n."""
-    classes = classes.sort_by("n")
-    col = lambda c: classes.column(c).combine_chunks()
-    return col("key").to_numpy(), col("n").to_numpy(), np.ascontiguousarray(_flat(col("bits"))[0].reshape(-1, SKETCH_WORDS).T), *_flat(col("toks"))
+    return train.select("key", "n", "toks").mapInArrow(run, _KINDS)
 
 
-def _compare(train: DataFrame, part) -> DataFrame:
-    """Overlapping pairs of the training rows and one broadcast part of the held-out classes, with repeats."""
+def _partitioned_pairs(train: DataFrame, held: DataFrame, words: int) -> DataFrame:
+    """Overlapping classes by a join on n-grams, for a held-out side of any size.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_e, n_e, bits_e, flat_e, at_e = part.value
-        coarse_e = bits_e[:COARSE] | bits_e[COARSE:]
-        for b in batches:
-            key_t, n_t = b.column(0).to_numpy(), b.column(1).to_numpy()
-            bits_t, (flat_t, at_t) = np.ascontiguousarray(_flat(b.column(2))[0].reshape(-1, SKETCH_WORDS).T), _flat(b.column(3))
-            coarse_t = bits_t[:COARSE] | bits_t[COARSE:]
-            found: list[tuple[int, int, int]] = []
-            order = np.unique(key_t, return_index=True)[1]
-            order = order[np.argsort(n_t[order], kind="stable")]
-            for lo in range(0, len(order), ROWS):
-                rows = order[lo : lo + ROWS]
-                n = n_t[rows]
-                first, last = np.searchsorted(n_e, -(-NUM * int(n[0]) // DEN), "left"), np.searchsorted(n_e, int(n[-1]) * DEN // NUM, "right")
-                room = np.minimum(n - -(-NUM * n // DEN), 255).astype(np.uint8)[:, None]
-                for s in range(first, last, COLUMNS):
-                    gone = _gone(coarse_t[:, rows, None], coarse_e[:, None, s : min(s + COLUMNS, last)])
-                    i, j = np.nonzero(gone <= room)
-                    i, j = rows[i], j + s
-                    needed = -(-NUM * np.maximum(n_t[i], n_e[j]) // DEN)
-                    fits = lambda n, a, b: n - np.bitwise_count(a & ~b).sum(0, dtype=np.int64) >= needed  # noqa: B023, E731
-                    likely = fits(n_t[i], bits_t[:, i], bits_e[:, j]) & fits(n_e[j], bits_e[:, j], bits_t[:, i])
-                    for i, j, least in zip(i[likely].tolist(), j[likely].tolist(), needed[likely].tolist()):
-                        x, y = flat_t[at_t[i] : at_t[i + 1]], flat_e[at_e[j] : at_e[j + 1]]
-                        both = int((np.searchsorted(y, x, "right") - np.searchsorted(y, x, "left")).sum())
-                        if both >= least:
-                            found.append((i, j, both))
-            i, j, both = np.array(found, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([pa.array(key_e[j]), pa.array(key_t[i]), pa.array(both.astype(np.int32)), pa.array(n_e[j]), pa.array(n_t[i])], ["key_eval", "key_train", "shared", "n_eval", "n_train"])
-
-    return train.select("key", "n", "bits", "toks").mapInArrow(run, "key_eval long, key_train long, shared int, n_eval int, n_train int")
+    Both sides put common words last by their counts (there are at most COMMON of them) and all others first by their
+    hashes: one order, so nothing is lost, and words of very many records make n-grams only where records hold little
+    else. What hot keys remain the planner splits.
+    """
+    counts = held.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(1, words // COMMON))
+    common = train.sparkSession.sparkContext.broadcast(counts.toArrow().sort_by([("c", "ascending"), ("t", "ascending")]).column("t").to_numpy())
+
+    def looked_for(held: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(common.value)
+            keys = common.value[order]
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 1000):
+                    b = whole.slice(lo, 1000)
+                    flat, starts = _flat(b.column(2))
+                    at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
+                    hot = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+                    row, h = grams(np.where(hot, (1 << 38) + (order[at] if len(keys) else 0), flat.view(np.uint64) >> np.uint64(26)).astype(np.int64), np.ones(len(flat), bool), flat, starts, held)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64))], ["key", "n", "t"])
+
+        return run
+
+    first = lambda df, held: df.select("key", "n", "toks").mapInArrow(looked_for(held), "key long, n int, t long")
+    classes = stored(train.select("key", "n", "toks").groupBy("key").agg(F.first("n").alias("n"), F.first("toks").alias("toks")))
+    e = first(held, True).select(F.col("key").alias("key_eval"), F.col("n").alias("n_eval"), "t")
+    t = first(classes, False).select(F.col("key").alias("key_train"), F.col("n").alias("n_train"), "t")
+    least = F.ceil(F.lit(NUM) * F.greatest("n_eval", "n_train") / F.lit(DEN))
+    hits = e.join(t, "t").where(F.least("n_eval", "n_train") >= least).groupBy("key_eval", "key_train", "n_eval", "n_train").agg(F.count(F.lit(1)).alias("hits"))
+    k = F.least(F.lit(HITS), least)
+    hits = hits.where(F.col("hits") >= F.when(F.col("n_train") > SHORT, k).otherwise(F.greatest(F.lit(1), k * (k - 1) / 2)))
+    both = hits.join(held.select(F.col("key").alias("key_eval"), F.col("toks").alias("a")), "key_eval").join(classes.select(F.col("key").alias("key_train"), F.col("toks").alias("b")), "key_train")
+    return both.withColumn("shared", F.size(F.array_intersect("a", "b"))).where(F.col("shared") >= least).select(_FOUND)  # numbered words are distinct
 
 
 def class_pairs(prepared: DataFrame, is_eval: str) -> DataFrame:
     """(key_eval, key_train, shared, n_eval, n_train): overlapping classes of equal multisets, one evaluation, one training.
 
-    Exact: every training record meets every held-out class whose length fits. Their sketches, which rule out no
-    true pair, leave few pairs, and those are compared by their whole multisets. The held-out classes are broadcast
-    in parts of bounded size and the training side is scanned once for each. Copies of a text are one class, so
-    they add no pairs here.
+    N-grams of the evaluation side's rarest words are broadcast as an index if few, else partitioned; training is
+    scanned for hits, and pairs with enough of them are compared by their whole multisets. Both ways are exact.
+    Copies of a text are one class, so they add no pairs here.
     """
     train = prepared.where(f"not {is_eval}")
-    held = stored(prepared.where(is_eval).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "bits", "toks")]))
-    parts = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // HELD_WORDS))
-    out = None
-    for k in range(parts):
-        found = _compare(train, train.sparkSession.sparkContext.broadcast(_held(held.where(F.pmod("key", F.lit(parts)) == k).toArrow())))
-        out = found if out is None else out.union(found)
-    return out.distinct()
+    held = stored(prepared.where(is_eval).groupBy("key").agg(F.first("n").alias("n"), F.first("toks").alias("toks")))
+    words = held.agg(F.sum("n")).first()[0] or 0
+    return (_broadcast_pairs(train, held) if words <= HELD_WORDS else _partitioned_pairs(train, held, words)).distinct()
 
 
 def split_overlaps(rows: DataFrame, record: str, split: str, text: str, carry: list[str], train: str = "train") -> DataFrame:

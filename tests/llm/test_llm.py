@@ -292,6 +292,23 @@ def test_overlaps_of_a_large_family(spark):
     assert _overlaps(spark, rows) == _brute(rows)
 
 
+@pytest.mark.parametrize("held_words", [None, 10])
+def test_overlaps_in_common_wording(spark, monkeypatch, held_words):
+    """Records that share just the wording which everyone uses, and none of their rare words."""
+    if held_words:
+        monkeypatch.setattr(overlap, "HELD_WORDS", held_words)
+        monkeypatch.setattr(overlap, "COMMON", 20)
+    rng = random.Random(7)
+    usual, fresh = [f"common{i}" for i in range(31)], iter(range(10**6))
+    rows = [("v", "test", " ".join(usual + [f"r{next(fresh)}" for _ in range(9)]))]
+    for i in range(2000):
+        w = usual + [f"r{next(fresh)}" for _ in range(9)]
+        rng.shuffle(w)
+        rows.append((f"t{i}", "train", " ".join(w)))
+    rows += [(f"x{i}", "train", " ".join(usual[:29] + [f"r{next(fresh)}" for _ in range(11)])) for i in range(200)]
+    assert _overlaps(spark, rows) == {(f"t{i}", "v") for i in range(2000)}
+
+
 @pytest.mark.parametrize("held_words", [None, 500])
 def test_overlaps_near_the_threshold_by_length(spark, monkeypatch, held_words):
     if held_words:
