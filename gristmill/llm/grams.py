@@ -56,6 +56,11 @@ def parts(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def word_hashes(cleaned: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every word of cleaned texts, in order."""
+    return word_places(cleaned)[:2]
+
+
+def word_places(cleaned: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, start, end) of every word of cleaned texts, in order, and the bytes in which they lie."""
     offsets = np.frombuffer(cleaned.buffers()[1], np.int32)[cleaned.offset : cleaned.offset + len(cleaned) + 1].astype(np.int64)
     data = cleaned.buffers()[2]
     b = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -68,13 +73,14 @@ def word_hashes(cleaned: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[edge] |= shown[edge]
     start = np.flatnonzero(first)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none, b
     inside = np.flatnonzero(shown)
     begins = np.searchsorted(inside, start)
     size = np.diff(np.append(begins, len(inside)))
     place = np.arange(len(inside)) - np.repeat(begins, size)
     h = np.add.reduceat(_BYTE[b[inside]] * _PLACE[place & 4095], begins)
-    return np.searchsorted(offsets, start, "right") - 1, mix(h)
+    return np.searchsorted(offsets, start, "right") - 1, mix(h), start, start + size, b
 
 
 def counted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

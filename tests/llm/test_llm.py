@@ -441,6 +441,23 @@ def test_passages(spark):
     assert got["whole"].words_found == len(w) and leakage.find_passages(df.limit(0), ["r"], "t", [(1, "q", q)]).count() == 0
 
 
+def test_passages_of_short_repeated_and_similar_queries(spark):
+    q = "Derive a bound on the archive histogram given that Lorranar penalizes sixty explicit backlogs per scalar bias and keep the replica below the limit"
+    filler = "Nothing to see in this part of the text, which goes on for a while. " * 40
+    rows = [("long", filler + q + filler), ("four", filler + "the violet gradient merges" + filler), ("word", filler + "Xylophones! " + filler), ("none", filler)]
+    asked = [(i, "question", q) for i in range(5)] + [(9, "question", "violet gradient merges twice"), (10, "answer", "The violet gradient merges."), (11, "answer", "xylophone"), (12, "answer", "nothing resembles these words")]
+    got = {(r.r, r.item_id) for r in leakage.find_passages(spark.createDataFrame(rows, "r string, t string"), ["r"], "t", asked).collect()}
+    assert got == {("long", i) for i in range(5)} | {("four", 9), ("four", 10), ("word", 11)}
+    assert leakage.find_passages(spark.createDataFrame(rows, "r string, t string"), ["r"], "t", []).count() == 0
+
+
+def test_postings_are_places_of_terms(spark):
+    q = leakage.Queries([(1, "q", "red green blue"), (2, "q", "blue"), (3, "q", "")])
+    docs = spark.createDataFrame([(1, "Blue red-green blues, red"), (2, ""), (3, None), (4, "green red")], "d long, t string")
+    got = sorted((r.doc, r.pos) for r in leakage.postings(docs, "d", "t", q).collect())
+    assert got == [(1, 0), (1, 1), (1, 2), (1, 3)] and len(q.words) == 2
+
+
 def test_queries_are_complete(spark, sf):
     names = {n.split("_")[0] for n in queries.QUERIES}
     assert names == {f"p{i}" for i in range(1, 11)} and not set(sql.SQL) - set(queries.QUERIES)
