@@ -31,6 +31,25 @@ def share_cap(total: int, max_share_ppm: int) -> int:
     return total * max_share_ppm // 1_000_000
 
 
+def output_cap(items: DataFrame, contributor: str, max_share_ppm: int) -> int:
+    """The greatest cap with which no contributor holds more than the share of what is kept.
+
+    What is kept under a cap c is the sum of min(size, c) over contributors, and all items without one. The cap is
+    lowered to the share of what it keeps until it stays; only sizes with their numbers, at most the square root of
+    twice the items, are summed on the driver. It is 0 if too few contributors share too much for any cap.
+    """
+    sizes = items.groupBy(contributor).agg(F.count(F.lit(1)).alias("n"))
+    free = sizes.where(F.col(contributor).isNull()).agg(F.sum("n")).first()[0] or 0
+    by_size = [(r["n"], r["k"]) for r in sizes.where(F.col(contributor).isNotNull()).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()]
+    cap = max((n for n, _ in by_size), default=0)
+    while cap:
+        kept = free + sum(min(n, cap) * k for n, k in by_size)
+        if (lower := min(cap, share_cap(kept, max_share_ppm))) == cap:
+            break
+        cap = lower
+    return cap
+
+
 def cap_contributors(items: DataFrame, contributor: str, item: str, score: str, cap: int) -> DataFrame:
     """At most ``cap`` items of every contributor, those of the best score.
 
@@ -68,6 +87,6 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = jobs_with_scores(spark, sf_dir)
-    total = table(spark, sf_dir, "episode_job").select("episode_id").where("episode_id is not null").distinct().count()
-    return cap_contributors(jobs, "source_group", "episode_id", "judge_score", share_cap(total, MAX_SHARE_PPM))
+    """Jobs of which no group holds more than 4 %, the best of each."""
+    jobs = cut(jobs_with_scores(spark, sf_dir))
+    return cap_contributors(jobs, "source_group", "episode_id", "judge_score", output_cap(jobs, "source_group", MAX_SHARE_PPM))
