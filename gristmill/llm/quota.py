@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.canon import label
 from gristmill.llm.selection import key_hash, take_quota
+from gristmill.llm.splits import MinCostFlow
 from gristmill.session import cut, table
 
 
@@ -99,6 +100,33 @@ def controlled_rounding(cells: dict[tuple[str, str], Fraction]) -> dict[tuple[st
     return {k: low(v) + (k in chosen and flow.cap[chosen[k]] == 0) for k, v in cells.items()}
 
 
+def bounded_quotas(cells: dict[tuple[str, str], tuple[Fraction, int, int]]) -> dict[tuple[str, str], tuple[int, int, bool]]:
+    """(wanted, quota, unmet) of each cell (share, minimum, held): quotas between the bounds that keep both margins.
+
+    Wanted numbers are the controlled rounding of the shares. Minimums are given first, as far as cells hold them. The
+    rest is a flow through rows and columns up to their margins: the wanted numbers, then, where a cell holds too
+    few, others of its row and column up to what they hold. So only minimums go over a margin, and margins are short
+    only where no cells could make up for others. A cell is unmet if what it holds narrows the bounds of its
+    rounded-up share or its minimum.
+    """
+    wanted = controlled_rounding({k: x for k, (x, _, _) in cells.items()})
+    low = {k: min(least, have) for k, (_, least, have) in cells.items()}
+    margin = lambda i, x: max(0, sum(wanted[k] - low[k] for k in cells if k[i] == x))
+    rows, cols = sorted({r for r, _ in cells}), sorted({c for _, c in cells})
+    at = {("r", r): 1 + i for i, r in enumerate(rows)} | {("c", c): 1 + len(rows) + i for i, c in enumerate(cols)}
+    sink = 1 + len(at)
+    flow, used = MinCostFlow(sink + 1), {}
+    for r in rows:
+        flow.edge(0, at["r", r], margin(0, r), 0)
+    for c in cols:
+        flow.edge(at["c", c], sink, margin(1, c), 0)
+    for (r, c), (_, _, have) in sorted(cells.items()):
+        share = max(low[r, c], min(wanted[r, c], have))
+        used[r, c] = [flow.edge(at["r", r], at["c", c], n, cost) for n, cost in ((share - low[r, c], 0), (have - share, 1))]
+    flow.run(0, sink)
+    return {k: (wanted[k], low[k] + sum(e[3][1] for e in used[k]), have < -(-x.numerator // x.denominator) or have < least) for k, (x, least, have) in cells.items()}
+
+
 def cell_counts(items: DataFrame, item: str, a: str, b: str) -> tuple[DataFrame, int]:
     """Distinct items per cell, and the number of distinct items (those without a cell count there only)."""
     counts = items.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("k"))
@@ -108,15 +136,16 @@ def cell_counts(items: DataFrame, item: str, a: str, b: str) -> tuple[DataFrame,
 def quota_table(spark: SparkSession, counts: DataFrame, mix: DataFrame, n: int, per: int, a: str, b: str) -> DataFrame:
     """Integer quotas of a sample of n / per items, with what is there and what is lacking.
 
-    mix: a, b, target_per_mille, min_rows - a fixed small table. A cell's quota is its rounded share, at least its
-    minimum, at most what it holds; ``unmet`` says that share or minimum cannot be served. Cells missing from mix
-    get no quota; a mix with repeated cells counts them once.
+    mix: a, b, target_per_mille, min_rows - a fixed small table. Quotas are those of bounded_quotas(); ``row_short`` and ``column_short`` are what the cell's
+    row and column lack of theirs (below 0: what minimums add). Cells missing from mix get no quota; a mix with
+    repeated cells counts them once.
     """
     want = mix.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.max("target_per_mille").alias("target_per_mille"), F.max("min_rows").alias("min_rows"))
     cells = {(r[a], r[b]): (r["target_per_mille"] or 0, r["min_rows"] or 0, r["k"] or 0) for r in want.join(counts, [a, b], "left").collect()}
-    whole = controlled_rounding({k: Fraction(v[0] * n, 1000 * per) for k, v in cells.items()}) if cells else {}
-    out = [(*k, target, least, have, whole[k], min(max(whole[k], least), have), bool(1000 * per * have < target * n or have < least)) for k, (target, least, have) in sorted(cells.items())]
-    return spark.createDataFrame(out, f"{a} string, {b} string, target_per_mille int, min_rows int, available long, wanted long, quota long, unmet boolean")
+    got = bounded_quotas({k: (Fraction(t * n, 1000 * per), least, have) for k, (t, least, have) in cells.items()}) if cells else {}
+    short = lambda i, x: sum(w - q for k, (w, q, _) in got.items() if k[i] == x)
+    out = [(*k, *cells[k], *got[k], short(0, k[0]), short(1, k[1])) for k in sorted(cells)]
+    return spark.createDataFrame(out, f"{a} string, {b} string, target_per_mille int, min_rows int, available long, wanted long, quota long, unmet boolean, row_short long, column_short long")
 
 
 def proportional_sample(items: DataFrame, item: str, a: str, b: str, quotas: DataFrame, seed: int = 17) -> DataFrame:
@@ -148,15 +177,19 @@ def _quotas(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     return quota_table(spark, counts, target_cells(spark, sf_dir), n, PER, "domain", "stage")
 
 
+def one_cell(items: DataFrame) -> DataFrame:
+    """One cell of each sample, the least, so that none is drawn or counted twice; null cells come last."""
+    return items.groupBy("sample_id").agg(F.coalesce(F.min(F.when(F.col("domain").isNotNull() & F.col("stage").isNotNull(), F.struct("domain", "stage"))), F.first(F.struct("domain", "stage"))).alias("c")).select("sample_id", "c.domain", "c.stage")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quotas(spark, sf_dir, cut(native_cells(spark, sf_dir))).where("unmet").select("domain", "stage")
 
 
 def p7_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quotas(spark, sf_dir, cut(native_cells(spark, sf_dir)))
+    return _quotas(spark, sf_dir, cut(one_cell(native_cells(spark, sf_dir))))
 
 
 def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = cut(native_cells(spark, sf_dir))
-    one = items.groupBy("sample_id").agg(F.min(F.struct("domain", "stage")).alias("c")).select("sample_id", "c.domain", "c.stage")
-    return proportional_sample(one, "sample_id", "domain", "stage", _quotas(spark, sf_dir, items))
+    one = cut(one_cell(native_cells(spark, sf_dir)))
+    return proportional_sample(one, "sample_id", "domain", "stage", _quotas(spark, sf_dir, one))

@@ -210,9 +210,54 @@ def test_pack_items(spark):
     assert packing.pack_items(df.limit(0), "d", "s").count() == 0
 
 
+def test_quotas_keep_margins_within_bounds():
+    rng = random.Random(6)
+    for _ in range(60):
+        cells = {(r, c): (Fraction(rng.randrange(0, 4000), 37), rng.choice([0, 0, 0, 3]), rng.choice([0, 20, 500, 500, 500])) for r in "abcd" for c in "wxyz" if rng.random() < 0.9}
+        got = quota.bounded_quotas(cells)
+        assert all(min(least, have) <= got[k][1] <= have for k, (_, least, have) in cells.items())
+        for axis in (0, 1):
+            for x in {k[axis] for k in cells}:
+                mine = [k for k in cells if k[axis] == x]
+                assert sum(got[k][1] for k in mine) <= sum(got[k][0] for k in mine) + sum(min(cells[k][1], cells[k][2]) for k in mine)
+        assert all(got[k][2] == (have < x or have < least) for k, (x, least, have) in cells.items())
+        if all(have >= max(least, w) and least <= w for (_, least, have), (w, _, _) in zip(cells.values(), got.values())):
+            assert all(w == q for w, q, _ in got.values())
+    # what one cell lacks, others of its row and column make up: all margins hold
+    cells = {(r, c): (Fraction(10), 0, 4 if (r, c) == ("a", "x") else 99) for r in "abc" for c in "xyz"}
+    got = quota.bounded_quotas(cells)
+    assert all(sum(q for (r, _), (_, q, _) in got.items() if r == x) == 30 for x in "abc") and all(sum(q for (_, c), (_, q, _) in got.items() if c == x) == 30 for x in "xyz") and got["a", "x"][1] == 4
+
+
+def test_capped_jobs_keep_the_share(spark):
+    sizes = {"a": 900, "b": 300, "c": 40, **{f"s{i}": 20 for i in range(30)}}
+    df = spark.createDataFrame([(g, f"{g}-{i}", 0.5) for g, n in sizes.items() for i in range(n)] + [(None, f"n{i}", None) for i in range(50)], "g string, i string, s double")
+    cap = capping.output_cap(df, "g", 40_000)
+    kept = Counter(r.g for r in capping.cap_contributors(df, "g", "i", "s", cap).collect())
+    assert max(n for g, n in kept.items() if g) <= 0.04 * sum(kept.values()) and kept[None] == 50
+    more = cap + 1
+    assert more > 0.04 * (50 + sum(min(n, more) for n in sizes.values()))
+    assert capping.output_cap(df.where("g in ('a', 'b')"), "g", 40_000) == 0 and capping.output_cap(df.limit(0), "g", 40_000) == 0
+
+
 # --- 4 ---
 
 
+@pytest.mark.parametrize("text", ["word " * 3000, "\n\n".join("para " * k for k in (100, 900, 30, 1200, 800, 820)), "x" * 9000 + "\n \t\n" + "y" * 4200, "", "short", " \n\n ".join("z" * k for k in (4200, 4201, 10))])
+def test_cuts_show_paragraphs_too_long(text):
+    got = splitting.cuts(text, 4200, 1400, 400, whole_words=True)
+    longest = max(len(p.strip()) for p in re.split(r"\n[ \t\r]*\n", text))
+    assert any((c[3] or 0) > 4200 for c in got) == (longest > 4200)
+    last = 0
+    for end, _, start, _ in got:
+        assert end - start <= 4200 and (not last or 400 <= last - start <= 600 or start == 0)
+        assert start == 0 or text[start - 1].isspace() or start == last - 400
+        last = end
+    assert last == len(text)
+
+
+
+
 def test_pieces_cover_and_overlap(spark):
     rng = random.Random(7)
     sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(4, 15))).capitalize() + "."
