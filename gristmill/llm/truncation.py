@@ -127,6 +127,14 @@ def ending(text: str) -> str:
     return "unsure"
 
 
+def last_word(t: str) -> str | None:
+    """The word in lower case with which a text ends, None if it ends otherwise."""
+    at = len(t)
+    while at and (t[at - 1].isalpha() or (t[at - 1] in "'’" and at < len(t))):
+        at -= 1
+    return (WORD.findall(t[at:].lower()) or [None])[-1]
+
+
 def measure(df: DataFrame, carry: list[str], text: str) -> DataFrame:
     """carry, ending, last_word (of unsure endings), lengths (one int for each of LENGTHS), content (a hash that copies share); null and blank texts are left out."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
@@ -140,7 +148,7 @@ def measure(df: DataFrame, carry: list[str], text: str) -> DataFrame:
             for i, t in enumerate(b.column(len(carry)).to_pylist()):
                 if t and t.strip():
                     row.append(i), end.append(ending(t))
-                    word.append((WORD.findall(t[-80:].lower()) or [None])[-1] if end[-1] == "unsure" and t.rstrip()[-1].isalpha() else None)
+                    word.append(last_word(t.rstrip()) if end[-1] == "unsure" else None)
                     flat.extend(f(t) for f in LENGTHS.values())
                     content.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1)
             at = pa.array(row, pa.int32())
@@ -196,8 +204,10 @@ def broken_words(measured: DataFrame, words: DataFrame) -> DataFrame:
     """(last_word): last words of unsure endings that are no words elsewhere, but beginnings of such."""
     last = measured.where("last_word is not null and length(last_word) > 1").select("last_word").distinct()
     odd = stored(last.join(words, F.col("last_word") == F.col("word"), "left_anti"))
-    starts = words.where("length(word) > 2 and length(word) <= 60").select(F.explode(F.transform(F.sequence(F.lit(2), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("start")).distinct()
-    return odd.join(starts, F.col("last_word") == F.col("start"), "left_semi")
+    sizes = F.array(*[F.lit(r[0]) for r in odd.select(F.length("last_word")).distinct().collect()]).cast("array<int>")  # lengths of words
+    long = words.select("word", F.filter(sizes, lambda n: n < F.length("word")).alias("_sizes"))
+    starts = long.select(F.explode(F.transform("_sizes", lambda n: F.substring("word", F.lit(1), n))).alias("start"))
+    return starts.join(maybe_broadcast(odd, odd.count()), F.col("last_word") == F.col("start")).select("last_word").distinct()
 
 
 def judged(measured: DataFrame, source: str, words: DataFrame) -> DataFrame:
