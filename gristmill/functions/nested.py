@@ -101,18 +101,39 @@ def tool_fields(x: str | Column, required: list[str]) -> Column:
     return walk(x)
 
 
-def answer_signature(x: str | Column) -> Column:
-    """A key under which equal answers meet: the last number to six digits, else the words in lower case."""
+def answer_signature(x: str | Column, kind: str | Column | None = None, size: str | Column | None = None) -> Column:
+    """A key under which equal answers meet: the last number to six digits, else the words in lower case.
+
+    With the ``kind`` of the specification: "numeric" and "unit" with the last number or "none", "ordering" with the
+    last ``size`` numbers (all if none are expected), any other kind with the first 80 characters in one spelling.
+    """
+    from gristmill.operators.grading import NUMBER
+
+    number = re.compile(NUMBER)
+
+    def stated(t) -> list[float]:
+        return [float(n.replace(",", "")) for n in number.findall((t or "").replace("−", "-"))]
 
     def key(t) -> str:
-        n = re.findall(r"-?\d[\d,]*\.?\d*(?:[eE][-+]?\d+)?", t or "")
+        n = stated(t)
         if n:
-            v = float(n[-1].replace(",", ""))
-            return f"{v:.6g}" if math.isfinite(v) else n[-1]
+            return f"{n[-1]:.6g}"
         return " ".join(re.findall(r"[a-z0-9]+", (t or "").lower()))
 
+    def typed(t, kind, size) -> str:
+        kind, n = kind or "none", stated(t)
+        if kind in ("numeric", "unit"):
+            return f"{kind}:{n[-1]:.6g}" if n else f"{kind}:none"
+        if kind == "ordering":
+            return "ordering:" + ",".join(f"{v:.6g}" for v in (n[-int(size) :] if size else n))
+        return f"{kind}:" + " ".join((t or "").lower().replace("−", "-").split())[:80]
+
     @F.pandas_udf("string")
     def walk(s: pd.Series) -> pd.Series:
         return s.map(key)
 
-    return walk(x)
+    @F.pandas_udf("string")
+    def walk_typed(s: pd.Series, k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([typed(*r) for r in zip(s, k, n.fillna(0))])
+
+    return walk(x) if kind is None else walk_typed(x, kind, F.lit(0) if size is None else size)

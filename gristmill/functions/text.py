@@ -115,8 +115,12 @@ def numbers(x) -> Column:
     return F.array_compact(F.transform(found, lambda n: F.regexp_replace(n, ",", "").try_cast("double")))
 
 
+#: Integers beyond 0 to 12, and years, that need no source.
+BENIGN_INTEGERS, BENIGN_YEARS = [15, 20, 24, 25, 30, 50, 60, 100], (1990, 2035)
+
+
 def numbers_grounded(x, facts: Column) -> Column:
-    """Whether every number of the text is near a fact as given, in thousands, millions, billions or percent; small integers and years pass."""
+    """Whether every number of the text is near a fact as given, in thousands, millions, billions or percent; small and benign integers and years pass."""
 
     def near(n: Column, f: Column) -> Column:
         hit = F.lit(False)
@@ -125,7 +129,7 @@ def numbers_grounded(x, facts: Column) -> Column:
             hit = hit | (F.abs(n - v) <= F.greatest(0.006 * F.greatest(F.abs(n), F.abs(v)), F.lit(0.51)))
         return hit
 
-    free = lambda n: ((n == F.floor(n)) & n.between(0, 12)) | ((n == F.floor(n)) & n.between(1900, 2100))
+    free = lambda n: ((n == F.floor(n)) & (n.between(0, 12) | n.isin(BENIGN_INTEGERS))) | n.between(*BENIGN_YEARS)
     return F.forall(numbers(x), lambda n: free(n) | F.exists(facts, lambda f: near(n, f)))
 
 
@@ -157,13 +161,27 @@ def normalized_sql(x) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(t, r"--[^\n]*", " "), r"\s+", " ")))
 
 
-def file_blocks(x) -> Column:
-    """map(path, body) of ``FILE: path`` blocks; absolute, upward and back-slashed paths are left out."""
+def file_blocks(x, most_bytes: int = 120_000, strict: bool = False) -> Column:
+    """map(path, body) of ``FILE: path`` blocks, the last of a path.
+
+    Absolute, upward and back-slashed paths and bodies over the limit are left out; with ``strict`` they raise, as
+    does a text without blocks.
+    """
     pattern = r"(?s)FILE:\s*([^\n`]+?)\s*\n```[A-Za-z0-9_+-]*\n(.*?)```"
     t = F.regexp_replace(_c(x), r"(?s)<think>.*?</think>", "")
     pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("p"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("b"))
-    safe = F.filter(pairs, lambda s: ~s["p"].startswith("/") & ~s["p"].contains("..") & ~s["p"].contains("\\") & (F.length(s["b"]) <= 120_000))
-    return F.map_from_entries(F.transform(safe, lambda s: F.struct(s["p"], s["b"])))
+    unsafe = lambda s: s["p"].startswith("/") | F.array_contains(F.split(s["p"], "/"), "..") | s["p"].contains("\\")
+    large = lambda s: F.octet_length(s["b"]) > most_bytes
+
+    def blocks(z: Column) -> Column:
+        fit = F.filter(z, lambda s: ~unsafe(s) & ~large(s))
+        out = let(fit, lambda f: F.map_from_entries(F.transform(F.filter(f, lambda s, i: ~F.exists(F.slice(f, i + 2, F.size(f)), lambda o: o["p"] == s["p"])), lambda s: F.struct(s["p"], s["b"]))))
+        if not strict:
+            return out
+        wrong = lambda test, says: F.raise_error(F.concat(F.lit(says), F.element_at(F.filter(z, test), 1)["p"])).cast("map<string,string>")
+        return F.when(F.size(z) == 0, F.raise_error(F.lit("no FILE blocks")).cast("map<string,string>")).when(F.exists(z, unsafe), wrong(unsafe, "unsafe file path: ")).when(F.exists(z, large), wrong(large, "file too large: ")).otherwise(out)
+
+    return let(pairs, blocks)
 
 
 def support_spans(chunk_id, x, width: int = 60, overlap: int = 10, limit: int = 600, most: int | None = 24) -> Column:

@@ -126,6 +126,7 @@ def simhashes(df: DataFrame, key: str, text: str) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str, distance: int = 3) -> DataFrame:
     """key, duplicate_of, type: rows removed as exact or near copies, visiting keys as strings in order.
 
+    Exact copies of a removed row are near copies of what it copies.
     A row is a near copy of an earlier kept row whose fingerprint shares the leading 16 bits and differs in at
     most ``distance`` bits; removed rows represent nothing. Exact copies collapse first, so a bucket holds only
     different texts; equal fingerprints in a bucket collapse as well before the greedy pass.
@@ -157,8 +158,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, distance: int = 3) -> Da
 
     bucketed = same.withColumn("b", F.expr("shiftrightunsigned(fingerprint, 48)"))
     shared = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b")
-    near = bucketed.join(shared, "b", "left_semi").select("b", "k", "fingerprint").repartition("b").sortWithinPartitions("b", "k").mapInArrow(greedy, "k string, duplicate_of string, type string")
-    return exact.union(twins).union(near)
+    near = stored(bucketed.join(shared, "b", "left_semi").select("b", "k", "fingerprint").repartition("b").sortWithinPartitions("b", "k").mapInArrow(greedy, "k string, duplicate_of string, type string"))
+
+    def resolved(copies: DataFrame, removed: DataFrame) -> DataFrame:
+        """Copies of removed rows are near copies of the row for which those went."""
+        r = removed.select(F.col("k").alias("_k"), F.col("duplicate_of").alias("_of"))
+        return copies.join(r, F.col("duplicate_of") == F.col("_k"), "left").select("k", F.coalesce("_of", "duplicate_of").alias("duplicate_of"), F.when(F.col("_of").isNotNull(), "near").otherwise(F.col("type")).alias("type"))
+
+    removed = stored(near.union(resolved(twins, near)))
+    return removed.union(resolved(exact, removed))
 
 
 def audit(chunks: DataFrame) -> DataFrame:

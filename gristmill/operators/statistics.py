@@ -45,28 +45,45 @@ def risk_coverage(df: DataFrame, score: str, wrong: str, seq: str, bins: int = 1
     return run.agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("_s")).select("n", F.round(F.col("_s") / (F.col("n") * F.col("n")), 9).alias("augrc"))
 
 
-def paired_lcb(df: DataFrame, a: str, b: str, z: float = 1.645) -> DataFrame:
+#: Fixed value: the 0.9 quantile of the normal distribution.
+Z_90 = 1.2815515655446004
+
+
+def paired_lcb(df: DataFrame, a: str, b: str, z: float = Z_90) -> DataFrame:
+    """n, mean, lower: the mean of paired differences and its one-sided lower bound at 90 %."""
     d = F.col(a) - F.col(b)
     return df.agg(F.count(d).alias("n"), F.round(F.avg(d), 9).alias("mean"), F.round(F.avg(d) - z * F.stddev_samp(d) / F.sqrt(F.count(d)), 9).alias("lower"))
 
 
 def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
-    """b01, b10, p: mid-p of McNemar's test on paired outcomes; only the two counts leave the cluster's aggregate."""
-    counts = df.agg(F.sum((~F.col(a) & F.col(b)).cast("long")).alias("b01"), F.sum((F.col(a) & ~F.col(b)).cast("long")).alias("b10"))
+    """wins, losses, p: one-sided mid-p of McNemar's test that ``a`` is right more often than ``b``; only two counts leave the cluster."""
+    counts = df.agg(F.sum((F.col(a) & ~F.col(b)).cast("long")).alias("wins"), F.sum((~F.col(a) & F.col(b)).cast("long")).alias("losses"))
 
     @F.pandas_udf("double")
     def mid_p(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([mcnemar_mid_p(int(i or 0), int(j or 0)) for i, j in zip(x, y)])
 
-    return counts.withColumn("p", F.round(mid_p("b01", "b10"), 9))
+    return counts.withColumn("p", F.round(mid_p("wins", "losses"), 9))
 
 
-def mcnemar_mid_p(x: int, y: int) -> float:
-    n, k = x + y, min(x, y)
+def mcnemar_mid_p(wins: int, losses: int) -> float:
+    """The chance of more wins among as many fair coins, and half that of as many."""
+    n = wins + losses
     if not n:
         return 1.0
     pmf = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2))
-    return min(1.0, 2 * (sum(pmf(i) for i in range(k + 1)) - 0.5 * pmf(k)))
+    return min(1.0, math.fsum(pmf(i) for i in range(wins + 1, n + 1)) + 0.5 * pmf(wins))
+
+
+def stouffer(df: DataFrame, z: str) -> DataFrame:
+    """n, z, p: equal-weight pooling of one-sided z scores of replications; nulls are left out, no score gives a null."""
+    one = df.agg(F.count(z).alias("n"), F.sum(z).alias("_s")).select("n", F.try_divide(F.col("_s"), F.sqrt("n")).alias("z"))
+
+    @F.pandas_udf("double")
+    def upper(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore")
+
+    return one.withColumn("p", upper("z"))
 
 
 def clopper_pearson_upper(errors: int, n: int, alpha: float = 0.05) -> float:
@@ -113,23 +130,37 @@ def delong_pair(df: DataFrame, a: str, b: str, positive: str) -> DataFrame:
     return r.agg(F.round(F.avg(F.when(pos, F.col(f"v1_{a}"))), 9).alias("auc_a"), F.round(F.avg(F.when(pos, F.col(f"v1_{b}"))), 9).alias("auc_b"), F.round(F.avg(d1), 9).alias("difference"), F.round(F.sqrt(F.var_samp(d1) / F.count(d1) + F.var_samp(d0) / F.count(d0)), 9).alias("standard_error"))
 
 
-def e_process(df: DataFrame, group: str, seq: str, score: str, correct: str, bet: float = 0.5) -> DataFrame:
-    """group, pairs, log_wealth, max_log_wealth: bets that a correct answer outranks the wrong one it is paired with.
+def e_process(df: DataFrame, group: str, seq: str, a: str, b: str, correct: str, bet: float = 0.5, before: DataFrame | None = None) -> DataFrame:
+    """group, pairs, discordant, wealth, max_wealth, waiting: bets that scorer ``a`` ranks right answers above wrong ones where ``b`` does not.
 
-    Wrong answers wait in line; each correct one is paired with the first waiting. Sequential by nature: one group
-    (an evaluation stream) is one task, so groups must be streams, not whole corpora.
+    Wrong answers wait in line; each right one is paired with the longest waiting. Pairs on which both scorers agree
+    say nothing; on others the wealth, 1 at first, is multiplied by 1 + bet or 1 - bet. ``before`` is a former result
+    to go on from: a run in parts ends like one in whole. Rows with a null are left out. Sequential by nature: one
+    group (an evaluation stream) is one task, so groups must be streams, not whole corpora.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        waiting, head, wealth, top, n = [], 0, 0.0, 0.0, 0
-        for s, ok in g.sort_values(seq)[[score, correct]].itertuples(index=False):
+    if not 0 < bet < 1:
+        raise ValueError("the bet must lie between 0 and 1")
+    kind = df.schema[group].dataType.simpleString()
+    out = f"`{group}` {kind}, pairs long, discordant long, wealth double, max_wealth double, waiting array<struct<a:double,b:double>>"
+
+    def run(rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        pairs, discordant, wealth, top, waiting = 0, 0, 1.0, 1.0, []
+        if len(old):
+            o = old.iloc[0]
+            pairs, discordant, wealth, top, waiting = int(o.pairs), int(o.discordant), float(o.wealth), float(o.max_wealth), [(w["a"], w["b"]) for w in o.waiting]
+        head = 0
+        for x, y, ok in rows.sort_values("_seq")[["_a", "_b", "_ok"]].itertuples(index=False):
             if not ok:
-                waiting.append(s)
+                waiting.append((x, y))
             elif head < len(waiting):
-                won = (s > waiting[head]) - (s < waiting[head])
-                head, n = head + 1, n + 1
-                wealth += math.log1p(bet * won)
-                top = max(top, wealth)
-        return pd.DataFrame({group: [g[group].iloc[0]], "pairs": [n], "log_wealth": [round(wealth, 9)], "max_log_wealth": [round(top, 9)]})
-
-    return df.select(group, seq, score, correct).groupBy(group).applyInPandas(run, f"`{group}` {df.schema[group].dataType.simpleString()}, pairs long, log_wealth double, max_log_wealth double")
+                (wx, wy), head, pairs = waiting[head], head + 1, pairs + 1
+                if (x > wx) != (y > wy):
+                    discordant += 1
+                    wealth *= 1.0 + bet * (1.0 if x > wx else -1.0)
+                    top = max(top, wealth)
+        name = (rows if len(rows) else old)[group].iloc[0]
+        return pd.DataFrame({group: [name], "pairs": [pairs], "discordant": [discordant], "wealth": [wealth], "max_wealth": [top], "waiting": [[{"a": x, "b": y} for x, y in waiting[head:]]]})
+
+    rows = df.select(group, F.col(seq).alias("_seq"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.col(correct).alias("_ok")).dropna()
+    old = before if before is not None else df.sparkSession.createDataFrame([], out)
+    return rows.groupBy(group).cogroup(old.groupBy(group)).applyInPandas(run, out)

@@ -557,12 +557,12 @@ def critique_coverage(spark, d):
     return R.exactly_once(t, table(spark, d, "critique").select("task_id", F.col("task_id").alias("claim")), "task_id", "claim")
 
 
-@query("""
-select sample_id, 'system: Produce the ' || replace(stage, '_', ' ') || ' stage.' || chr(10) || chr(10) || 'user: ' || coalesce(subdomain, '') || chr(10) || chr(10) || 'assistant: ' || target as rendered, split
-from native_row where loss_mask and stage in ('framing', 'decomposition', 'private_solving', 'barrier', 'verification', 'continuation', 'synthesis', 'commitment', 'counterfactual', 'root_retention')
+@query(f"""
+select sample_id, 'system: ' || case when s in ('framing', 'decomposition', 'private_solving', 'barrier', 'verification', 'continuation', 'synthesis', 'commitment', 'counterfactual', 'root_retention') then 'Produce the ' || replace(s, '_', ' ') || ' stage.' else '' end
+ || chr(10) || chr(10) || 'user: ' || coalesce(subdomain, '') || chr(10) || chr(10) || 'assistant: ' || target as rendered, split
+from (select *, {LABEL_.format("stage", "_")} as s from native_row where loss_mask)
 """)
 def instruction_rows(spark, d):
-    # Every row that trains; the SQL above still leaves out rows whose stage is null or spelled otherwise.
     v = R.instruction_view(table(spark, d, "native_row"), F.coalesce("subdomain", F.lit("")))
     return v.select("sample_id", R.render_messages("messages").alias("rendered"), "split")
 
@@ -623,7 +623,8 @@ def graded_targets(spark, d):
 
 
 @query(r"""
-select candidate_id, round(0.35 * least(1.0, len(regexp_extract_all(lower(coalesce(answer, '')), '[a-z0-9]+(?:''[a-z0-9]+)?')) / 60.0) + 0.45 + 0.10 * (not regexp_matches(coalesce(answer, ''), '(?i)\b(todo|tbd|lorem ipsum|placeholder)\b|\.\.\.\s*$'))::int + 0.10 * regexp_matches(rtrim(coalesce(answer, ''), ' '), '[.!?)\]`}|]$')::int, 6) as completion from candidate
+select candidate_id, round(0.35 * least(1.0, len(regexp_extract_all(lower(a), '[a-z0-9]+(?:''[a-z0-9]+)?')) / 60.0) + 0.45 + 0.10 * (not regexp_matches(a, '(?i)\b(todo|tbd|lorem ipsum|placeholder)\b|\.\.\.\s*$'))::int
+ + 0.10 * (regexp_matches(a, '([.!?)\]}]|```)\s*$') and not regexp_matches(a, '(?i)\b(and|or|to|with|because|including|such as)\s*[.!?]?\s*$'))::int, 6) as completion from (select candidate_id, coalesce(answer, '') as a from candidate)
 """)
 def answer_completion(spark, d):
     return table(spark, d, "candidate").select("candidate_id", G.completion("answer", 60, []).alias("completion"))
@@ -660,7 +661,7 @@ def judge_augrc(spark, d):
     return U.risk_coverage(r.select("episode_id", "s", (~F.col("y")).alias("w")), "s", "w", "episode_id")
 
 
-@query("select count(prompt_tokens - completion_tokens) as n, round(avg(prompt_tokens - completion_tokens), 9) as mean, round(avg(prompt_tokens - completion_tokens) - 1.645 * stddev_samp(prompt_tokens - completion_tokens) / sqrt(count(prompt_tokens - completion_tokens)), 9) as lower from candidate")
+@query("select count(prompt_tokens - completion_tokens) as n, round(avg(prompt_tokens - completion_tokens), 9) as mean, round(avg(prompt_tokens - completion_tokens) - 1.2815515655446004 * stddev_samp(prompt_tokens - completion_tokens) / sqrt(count(prompt_tokens - completion_tokens)), 9) as lower from candidate")
 def token_difference_bound(spark, d):
     return U.paired_lcb(table(spark, d, "candidate"), "prompt_tokens", "completion_tokens")
 
@@ -693,8 +694,18 @@ def paired_test(spark, d):
 
 @query()
 def betting_process(spark, d):
-    r = scored(spark, d).select(F.lit("judge-stream-").alias("p"), "*").select(F.concat("p", F.substring("episode_id", 4, 2)).alias("stream"), "episode_id", "s", "y")
-    return U.e_process(r, "stream", "episode_id", "s", "y")
+    c = table(spark, d, "candidate").where("elapsed_seconds is not null and completion_tokens is not null").select(F.concat_ws("/", "model", "provider_id").alias("stream"), "candidate_id", (-F.col("elapsed_seconds")).alias("a"), F.col("completion_tokens").cast("double").alias("b"), (F.length("answer") > 400).alias("ok")).distinct()
+    return U.e_process(c, "stream", "candidate_id", "a", "b", "ok").drop("waiting")
+
+
+@query("""
+with z as (select model, (avg(prompt_tokens - completion_tokens) / (stddev_samp(prompt_tokens - completion_tokens) / sqrt(count(prompt_tokens - completion_tokens)))) as z from candidate group by model)
+select count(z) as n, round(sum(z) / sqrt(count(z)), 6) as z from z
+""")
+def pooled_differences(spark, d):
+    x = F.col("prompt_tokens") - F.col("completion_tokens")
+    z = table(spark, d, "candidate").groupBy("model").agg(F.try_divide(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count(x))).alias("z"))
+    return U.stouffer(z, "z").select("n", F.round("z", 6).alias("z"))
 
 
 # --- streams as batches --------------------------------------------------------------------------------------------
@@ -726,9 +737,20 @@ def target_strings(spark, d):
     return table(spark, d, "native_row").select("sample_id", F.try_element_at(N.string_leaves("target"), F.lit(1)).alias("summary"))
 
 
-@query()
+@query(r"""
+with n as (select candidate_id, lower(trim(regexp_replace(coalesce(answer, ''), '[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) as t from candidate)
+select candidate_id, 'none:' || left(replace(t, '−', '-'), 80) as signature from n
+""")
 def answer_signatures(spark, d):
-    return table(spark, d, "candidate").select("candidate_id", N.answer_signature("answer").alias("signature"))
+    return table(spark, d, "candidate").select("candidate_id", N.answer_signature(F.coalesce("answer", F.lit("")), F.lit("none")).alias("signature"))
+
+
+@query(r"""
+select candidate_id, coalesce(try_cast(replace(list_last(regexp_extract_all(' ' || coalesce(answer, ''), '[^\w.]([-+]?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?)', 1)), ',', '') as double) = length(answer), false) as correct from candidate
+""")
+def graded_lengths(spark, d):
+    c = table(spark, d, "candidate").select("candidate_id", F.coalesce("answer", F.lit("")).alias("answer"))
+    return c.select("candidate_id", G.grade(F.lit("numeric"), F.col("answer"), F.length("answer").cast("string"), F.lit("")).alias("correct"))
 
 
 @query()

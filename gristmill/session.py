@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is configured."""
+    """The cluster's checkpoint folder; a temporary one is set only in local mode where none is configured, else it raises."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = path or tempfile.mkdtemp(prefix="gristmill-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 

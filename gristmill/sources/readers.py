@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from gristmill.canon import normalize_text
 
 #: Names read as plain text, and directories never entered.
-TEXT_SUFFIXES = "txt md rst py js ts tsx jsx java go rs c h cpp hpp cs rb php sh sql yaml yml toml ini cfg tex".split()
+TEXT_SUFFIXES = "txt md markdown rst py js jsx ts tsx java go rs c cc cpp h hpp sql yaml yml toml ini cfg sh tf css scss".split()
 SKIPPED_PARTS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache"]
 #: Benchmark columns taken as the prompt, in this order.
 PROMPT_KEYS = ["question", "prompt", "text", "problem", "task", "description"]
@@ -105,6 +106,12 @@ def csv_parts(text: str) -> list[tuple[str, str]]:
     return [(f"row-{i}", json.dumps(r, ensure_ascii=False, indent=2)) for i, r in enumerate(csv.DictReader(io.StringIO(text), dialect=dialect), 1)]
 
 
+def parquet_parts(data: bytes) -> list[tuple[str, str]]:
+    """Rows of a Parquet file as JSON, like those of CSV; values JSON lacks become text."""
+    rows = pq.ParquetFile(io.BytesIO(data)).iter_batches(1000)
+    return [(f"row-{i}", json.dumps(r, ensure_ascii=False, indent=2, default=str)) for i, r in enumerate((r for b in rows for r in b.to_pylist()), 1)]
+
+
 def extract(path: str, data: bytes) -> list[tuple[str, str]]:
     """(part, text) of one file by its suffix; unknown suffixes give none; parts without text are dropped."""
     suffix = path.rpartition(".")[2].lower()
@@ -127,6 +134,8 @@ def extract(path: str, data: bytes) -> list[tuple[str, str]]:
         parts = [(f"{c.get('cell_type', 'cell')}-{i}", "".join(c.get("source", [])) if isinstance(c.get("source"), list) else str(c.get("source", ""))) for i, c in enumerate(cells)]
     elif suffix == "csv":
         parts = csv_parts(text())
+    elif suffix == "parquet":
+        parts = parquet_parts(data)
     elif suffix in TEXT_SUFFIXES:
         parts = [("document", text())]
     else:

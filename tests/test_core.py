@@ -1,5 +1,6 @@
 import io
 import json
+import math
 import random
 import zipfile
 
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gristmill.functions import nested as N
 from gristmill.functions import text as T
 from gristmill.operators import analytics, contamination, corpus, grading, records, sampling, splits, statistics
 from gristmill.plans import catalog
@@ -81,6 +83,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == set(brute_near(rows))
 
 
+def test_copies_of_removed_rows_are_near_copies(spark):
+    words = [f"w{i}" for i in range(300)]
+    rng = np.random.default_rng(3)
+    base = [" ".join(rng.choice(words, 400)) for _ in range(8)]
+    rows = [(100 + i, t) for i, t in enumerate(base)] + [(200 + i, t + " extra") for i, t in enumerate(base)] + [(300 + i, t.upper() + "  EXTRA") for i, t in enumerate(base)] + [(400 + i, t.title()) for i, t in enumerate(base)]
+    got = {r.k: (r.duplicate_of, r.type) for r in corpus.near_duplicates(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    want, kept, seen = {}, [], {}
+    for k, t in sorted((str(k), t) for k, t in rows):
+        flat, f = " ".join(t.lower().split()), corpus.simhash64(t)
+        near = next((o for o, g in kept if ((f ^ g) & (2**64 - 1)) >> 48 == 0 and ((f ^ g) & (2**64 - 1)).bit_count() <= 3), None)
+        if flat in seen:
+            want[k] = (seen[flat], "exact")
+        elif near:
+            want[k] = (near, "near")
+        else:
+            seen[flat] = k
+            kept.append((k, f))
+    assert got == want and {t for _, t in want.values()} == {"exact", "near"} and any(k.startswith("3") and t == "near" for k, (_, t) in want.items())
+
+
 def test_even_cap_and_largest_remainder(spark):
     df = spark.range(10).select(F.lit("g").alias("g"), "id")
     assert [r.id for r in sampling.even_cap(df, "g", ["id"], 1).collect()] == [5]
@@ -151,6 +173,72 @@ def test_graders(spark):
     assert spark.range(1).select(grading.rubric_coverage(F.lit("A red car."), groups)).first()[0] == 0.5
 
 
+def test_graders_follow_their_specifications(spark):
+    rows = [
+        ("so 3, 1, 2", "ordering", "3 > 1 > 2", "", True), ("so 3, 2, 1", "ordering", "3 > 1 > 2", "", False), ("1, 2", "ordering", "3 > 1 > 2", "", False), ("it runs at 5 m/s", "unit", "5", "m/s", True), ("5 km", "unit", "5", "m", False), ("5", "unit", "5", "", True),
+        ("anything", "none", "", "", True), ("anything", "other", "", "", None), ("1.000001", "numeric", "1", "", False), ("−4 (not 3x4)", "numeric", "-4", "", False), ("at −4", "numeric", "-4", "", True), ("```sql\nSELECT a\n FROM t;\n```", "sql_exact", "select a from t", "", True), ("", "sql_exact", "", "", False),
+        ("There is not enough evidence.", "abstention", "", "", True), ("Not enough evidence, but 7.", "abstention", "", "", False), ("I will not say.", "abstention", "", "", False),
+    ]
+    df = spark.createDataFrame([r[:4] for r in rows], "a string, k string, e string, u string")
+    assert [r[0] for r in df.select(grading.grade(F.col("k"), F.col("a"), F.col("e"), F.col("u"))).collect()] == [r[4] for r in rows]
+    ends = spark.createDataFrame([("We did it because.",), ("We did it.",), ("We did it\n```\n",), ("We did it",)], "a string")
+    assert [r[0] for r in ends.select(grading.completion("a", 1, [])).collect()] == [0.9, 1.0, 1.0, 0.9]
+    assert spark.range(1).select(grading.completion(F.lit("The plan and the riskiest part."), 1, ["plan", "risk"])).first()[0] == 0.775
+    typed = spark.createDataFrame([("1, 2.50, 3", "ordering", 2), ("is 7 m", "unit", 0), ("no", "numeric", 0), ("A  b−1", "sql_exact", 0), (None, None, 0)], "a string, k string, n int")
+    assert [r[0] for r in typed.select(N.answer_signature("a", "k", "n")).collect()] == ["ordering:2.5,3", "unit:7", "numeric:none", "sql_exact:a b-1", "none:"]
+
+
+def test_unsafe_file_blocks_raise_if_strict(spark):
+    one = lambda t, **k: spark.createDataFrame([(t,)], "f string").select(T.file_blocks("f", **k).alias("m")).first().m
+    block = lambda path, body: f"FILE: {path}\n```\n{body}```\n"
+    assert one(block("a", "1\n") + block("a..b", "2\n") + block("a", "3\n"), strict=True) == {"a..b": "2\n", "a": "3\n"}
+    for bad in ("", block("/etc/x", "1\n"), block("a/../b", "1\n"), block("a\\b", "1\n"), block("big", "é" * 61_000 + "\n")):
+        assert one(bad) == {}
+        with pytest.raises(Exception, match="FILE blocks|unsafe|too large"):
+            one(bad, strict=True)
+
+
+def test_grounded_numbers_let_benign_ones_pass(spark):
+    df = spark.createDataFrame([(t,) for t in ("12 of 100", "in 1995", "in 1985", "at 70", "15.5")], "t string")
+    assert [r[0] for r in df.select(T.numbers_grounded(F.col("t"), F.array(F.lit(1000.0)))).collect()] == [True, True, False, False, False]
+
+
+@pytest.mark.parametrize("cut_at", [0, 1, 40, 79, 80])
+def test_bets_on_two_scorers_in_parts_and_whole(spark, cut_at):
+    rng = np.random.default_rng(5)
+    rows = [("xy"[i % 2], i, float(rng.integers(0, 9)), float(rng.integers(0, 9)), bool(rng.random() < 0.5)) for i in range(80)]
+    df = spark.createDataFrame([*rows, ("x", 90, None, 1.0, True)], "g string, i long, a double, b double, ok boolean")
+    first = statistics.e_process(df.where(F.col("i") < cut_at), "g", "i", "a", "b", "ok")
+    got = {r.g: r for r in statistics.e_process(df.where(F.col("i") >= cut_at), "g", "i", "a", "b", "ok", before=first).collect()}
+    for g in "xy":
+        line, wealth, top, pairs, odd = [], 1.0, 1.0, 0, 0
+        for _, _, a, b, ok in (r for r in rows if r[0] == g):
+            if not ok:
+                line.append((a, b))
+            elif line:
+                wa, wb = line.pop(0)
+                pairs += 1
+                if (a > wa) != (b > wb):
+                    odd, wealth = odd + 1, wealth * (1.5 if a > wa else 0.5)
+                    top = max(top, wealth)
+        r = got[g]
+        assert (r.pairs, r.discordant, r.wealth, r.max_wealth, [(w.a, w.b) for w in r.waiting]) == (pairs, odd, pytest.approx(wealth), pytest.approx(top), line)
+
+
+def test_one_sided_tests(spark):
+    assert statistics.mcnemar_mid_p(8, 2) == pytest.approx(sum(math.comb(10, k) for k in (9, 10)) / 1024 + math.comb(10, 8) / 2048) and statistics.mcnemar_mid_p(0, 0) == 1.0
+    assert statistics.mcnemar_mid_p(2, 8) > 0.9
+    r = statistics.stouffer(spark.createDataFrame([(1.0,), (2.0,), (None,)], "z double"), "z").first()
+    assert r.n == 2 and r.z == pytest.approx(3 / math.sqrt(2)) and r.p == pytest.approx(0.0169, abs=1e-4)
+
+
+def test_parquet_rows_are_parts(spark, tmp_path):
+    spark.createDataFrame([(1, "one"), (2, None)], "n int, t string").coalesce(1).write.parquet(str(tmp_path / "p"))
+    data = next((tmp_path / "p").glob("*.parquet")).read_bytes()
+    assert [(p, json.loads(t)) for p, t in readers.extract("x.PARQUET", data)] == [("row-1", {"n": 1, "t": "one"}), ("row-2", {"n": 2, "t": None})]
+    assert readers.extract("a.tf", b"x")[0] == ("document", "x")
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 60), st.integers(0, 60))
 def test_mid_p_is_a_probability(a, b):
