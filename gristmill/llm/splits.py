@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +113,55 @@ def allocate(bundles: dict[tuple[int, str], int], shares: list[int]) -> dict[tup
     return out
 
 
+def rebalance(labels: np.ndarray, plan: np.ndarray, shares: list[int], most: int = 5000) -> np.ndarray:
+    """Components of each bundle per split, moved one by one while the splits' deviations from their quotas fall.
+
+    labels: bundles by labels, the members of one component; plan: bundles by splits. The cost is the sum over labels
+    and splits of the squared deviation, each label weighed by its members, and of the splits' sizes. Every step takes
+    the move that gains most; it ends when none gains, or after ``most`` moves.
+    """
+    plan = plan.copy()
+    count, whole = plan.sum(1), sum(shares)
+    v = np.concatenate([labels, labels.sum(1, keepdims=True)], 1).astype(np.float64)
+    held = count @ v
+    v /= np.sqrt(np.maximum(1.0, held))
+    off = plan.T @ v - np.outer(np.array(shares) / whole, count @ v)
+    square = 2 * (v * v).sum(1)
+    moves = [(j, k) for j in range(len(shares)) for k in range(len(shares)) if j != k]
+    for _ in range(most):
+        gain = np.stack([np.where(plan[:, j] > 0, 2 * v @ (off[k] - off[j]) + square, np.inf) for j, k in moves], 1)
+        b, m = np.unravel_index(np.argmin(gain), gain.shape)
+        if gain[b, m] >= -1e-12:
+            break
+        j, k = moves[m]
+        plan[b, j] -= 1
+        plan[b, k] += 1
+        off[j] -= v[b]
+        off[k] += v[b]
+    return plan
+
+
+def allocate_profiles(bundles: dict[tuple[int, ...], int], shares: list[int]) -> dict[tuple[int, ...], list[int]]:
+    """Components of each bundle of one label profile (members by label) per split: the flow by size and leading label, then rebalance()."""
+    keys = sorted(bundles)
+    if not keys:
+        return {}
+    labels = np.array(keys, np.int64)
+    lead = [(int(x.sum()), str(int(x.argmax()))) for x in labels]
+    by_lead: dict[tuple[int, str], int] = {}
+    for k, p in zip(keys, lead):
+        by_lead[p] = by_lead.get(p, 0) + bundles[k]
+    left = {p: list(x) for p, x in allocate(by_lead, shares).items()}
+    plan = np.zeros((len(keys), len(shares)), np.int64)
+    for i, (k, p) in enumerate(zip(keys, lead)):
+        n = bundles[k]
+        for j in range(len(shares)):
+            plan[i, j] = took = min(n, left[p][j])
+            left[p][j] -= took
+            n -= took
+    return dict(zip(keys, rebalance(labels, plan, shares).tolist()))
+
+
 def _node(kind: str, col: Column | str) -> Column:
     return F.when(F.col(col).isNotNull(), F.xxhash64(F.lit(kind), col)) if isinstance(col, str) else F.when(col.isNotNull(), F.xxhash64(F.lit(kind), col))
 
@@ -143,26 +194,45 @@ SPLITS = ["train", "validation", "test"]
 SHARES = [80, 10, 10]
 
 
-def grouped_splits(rows: DataFrame, item: str, ties: list[str], profile: str, shares: list[int] = SHARES) -> DataFrame:
+#: Bundles of one label profile that reach the driver; smaller components are then bundled by their leading label.
+PROFILES = 20_000
+
+
+def grouped_splits(rows: DataFrame, item: str, ties: list[str], profile: str, shares: list[int] = SHARES, profiles: int = PROFILES) -> DataFrame:
     """(item, component, split): one row per item, all items of a component in one split.
 
-    rows may repeat items; null items are left out, null ties tie nothing, a null profile counts as "". A
-    component's profile is its commonest value (ties: the least). Only the counts of bundles (size, profile) reach
-    the driver: at most the square root of twice the number of items, for each profile. A component larger than
-    any quota still goes somewhere, whole. No rows give no rows.
+    rows may repeat items; null items are left out, null ties tie nothing, a null profile counts as "", of several
+    an item has the least. Components of one label profile (members by label) are a bundle; splits come near their
+    shares as a whole and in every label. Only bundles with their numbers reach the driver: up to ``profiles``, the
+    largest first; of components smaller than those only size and leading label count, as their other labels even out
+    by number. A component larger than any quota still goes somewhere, whole. No rows give no rows. Labels should be
+    few (as domains are).
     """
     rows = rows.where(F.col(item).isNotNull())
     nodes, edges = tied_nodes(rows, item, ties)
     of_item, _ = component_of_items(nodes, edges, item)
     of_item = cut(of_item)
     tally = of_item.join(rows.groupBy(item).agg(F.coalesce(F.min(profile), F.lit("")).alias("profile")), item).groupBy("component", "profile").agg(F.count(F.lit(1)).alias("n"))
-    comps = cut(tally.groupBy("component").agg(F.sum("n").alias("size"), F.min_by("profile", F.struct(-F.col("n"), F.col("profile"))).alias("profile")))
-    bundles = {(r["size"], r["profile"]): r["n"] for r in comps.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = [(s, p, *x[:2]) for (s, p), x in allocate(bundles, shares).items()]
-    counts = rows.sparkSession.createDataFrame(plan, "size long, profile string, _a long, _b long")
-    ranked = exact_rank(comps.withColumn("_h", key_hash("component", seed=5)).withColumn("_hb", F.shiftright("_h", 18)), ["size", "profile"], "_hb", ["_h", "component"])
+    comps = cut(tally.groupBy("component").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct("profile", "n"))).alias("labels"), F.min_by("profile", F.struct(-F.col("n"), F.col("profile"))).alias("lead")))
+    by_size = sorted(((r["size"], r["n"]) for r in comps.groupBy("size").agg(F.countDistinct("labels").alias("n")).collect()), reverse=True)
+    least, room = 0, profiles
+    for size, n in by_size:
+        room -= n
+        if room < 0:
+            least = size + 1
+            break
+    whole = F.when(F.col("size") >= least, F.col("labels")).otherwise(F.array(F.struct(F.col("lead").alias("profile"), F.col("size").alias("n"))))
+    comps = comps.select("component", F.to_json(whole).alias("bundle"))
+    counted = {r["bundle"]: r["n"] for r in comps.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parsed = {b: {x["profile"]: x["n"] for x in json.loads(b)} for b in counted}
+    names = sorted({k for x in parsed.values() for k in x})
+    keys = {b: tuple(x.get(k, 0) for k in names) for b, x in parsed.items()}
+    got = allocate_profiles({keys[b]: n for b, n in counted.items()}, shares)
+    plan = [(b, *got[keys[b]][:2]) for b in counted]
+    counts = rows.sparkSession.createDataFrame(plan, "bundle string, _a long, _b long")
+    ranked = exact_rank(comps.withColumn("_h", key_hash("component", seed=5)).withColumn("_hb", F.shiftright("_h", 18)), ["bundle"], "_hb", ["_h", "component"])
     split = F.when(F.col("rank") <= F.col("_a"), SPLITS[0]).when(F.col("rank") <= F.col("_a") + F.col("_b"), SPLITS[1]).otherwise(SPLITS[2])
-    placed = ranked.join(maybe_broadcast(counts, len(plan)), ["size", "profile"]).select("component", split.alias("split"))
+    placed = ranked.join(maybe_broadcast(counts, len(plan)), "bundle").select("component", split.alias("split"))
     return of_item.join(placed, "component").select(item, "component", "split")
 
 

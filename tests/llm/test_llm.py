@@ -129,12 +129,26 @@ def test_allocation_is_whole_and_near_its_shares():
     assert all(abs(h - total * q / 100) <= 25 for h, q in zip(held, (80, 10, 10)))
 
 
-def test_grouped_splits(spark):
+def test_every_label_comes_near_its_shares():
+    rng = np.random.default_rng(8)
+    bundles = {}
+    for size, n in ((1, 400), (3, 120), (12, 60), (60, 12), (300, 2)):
+        for _ in range(n):
+            v = tuple(rng.multinomial(size, rng.dirichlet([0.4] * 5)).tolist())
+            bundles[v] = bundles.get(v, 0) + 1
+    got = splits.allocate_profiles(bundles, [80, 10, 10])
+    assert all(sum(got[k]) == n and min(got[k]) >= 0 for k, n in bundles.items())
+    held = sum(np.outer(got[k], k) for k in bundles)
+    assert np.abs(held / held.sum(0) - np.array([[0.8], [0.1], [0.1]])).max() < 0.01 and splits.allocate_profiles({}, [80, 10, 10]) == {}
+
+
+@pytest.mark.parametrize("profiles", [20_000, 3])
+def test_grouped_splits(spark, profiles):
     rng = random.Random(3)
     rows = [(f"e{i}", rng.choice([None, *(f"g{j}" for j in range(40))]), rng.choice([None, "n/a", " Unknown", *(f"c{j}" for j in range(60))]), rng.choice("xyz")) for i in range(500)]
     rows += rows[:50] + [("e1", "g0", "c0", None), (None, "g1", "c1", "x")]
     df = spark.createDataFrame(rows, "e string, g string, c string, d string").select("e", splits.known("g").alias("g"), splits.known("c").alias("c"), "d")
-    got = {r.e: r for r in splits.grouped_splits(clash(df), "e", ["g", "c"], "d").collect()}
+    got = {r.e: r for r in splits.grouped_splits(clash(df), "e", ["g", "c"], "d", profiles=profiles).collect()}
     assert set(got) == {r[0] for r in rows if r[0]}
     edges = [(("e", e), x) for e, g, c, _ in rows if e for x in [("g", g) if g else None, ("c", c) if c and c not in ("n/a", " Unknown") else None] if x]
     for group in union_find(edges):
