@@ -200,12 +200,12 @@ SALT = 16
 
 
 def postings(docs: DataFrame, doc: str, text: str, queries: Queries) -> DataFrame:
-    """(term, doc, pos): the positional index of the corpus, stored in order of terms.
+    """(term, doc, places): the positional index of the corpus, stored in order of terms: a term's places in one text together.
 
     It holds the postings of the terms that some query has; others are never asked for.
     """
     shared = docs.sparkSession.sparkContext.broadcast((np.unique(queries.term), bool((queries.sizes == 1).any())))
-    names = ["term", "doc", "pos"]
+    names = ["term", "doc", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, lone = shared.value
@@ -222,11 +222,15 @@ def postings(docs: DataFrame, doc: str, text: str, queries: Queries) -> DataFram
                 row, s = stems(cleaned(whole.column(1).slice(a, b - a)))
                 found = [(r, p, t.view(np.int64)) for r, p, t in (terms_of(row, s), *([lone_terms(row, s)] if lone else []))]
                 r, p, t = (np.concatenate(x) for x in zip(*((r[k], p[k], t[k]) for r, p, t in found for k in [asked(t)])))
-                doc = whole.column(0).slice(a, b - a).take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([pa.array(t), doc, pa.array(p.astype(np.int32))], names)
+                order = np.lexsort((p, r, t))
+                t, r, p = t[order], r[order], p[order]
+                new = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (r[1:] != r[:-1]))) if len(t) else np.zeros(0, np.int64)
+                doc = whole.column(0).slice(a, b - a).take(pa.array(r[new]))
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(p)).astype(np.int32)), pa.array(p.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(t[new]), doc, places], names)
 
-    found = docs.select(doc, text).mapInArrow(run, "term long, doc long, pos int")
-    return stored(found.repartition("term", F.pmod("doc", F.lit(SALT))).sortWithinPartitions("term", "doc", "pos"))
+    found = docs.select(doc, text).mapInArrow(run, "term long, doc long, places array<int>")
+    return stored(found.repartition("term", F.pmod("doc", F.lit(SALT))).sortWithinPartitions("term", "doc"))
 
 
 def find_passages(corpus: DataFrame, keys: list[str], text: str, queries: list[tuple[int, str, str]]) -> DataFrame:
@@ -249,13 +253,13 @@ def find_passages(corpus: DataFrame, keys: list[str], text: str, queries: list[t
         return spark.createDataFrame([], schema)
     rows = corpus.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), F.xxhash64(*keys, text).alias("_doc"))
     index = postings(rows, "_doc", "_text", q)
-    counts = {r["term"]: r["count"] for r in index.groupBy("term").count().collect()}  # terms of queries only
+    counts = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.sum(F.size("places")).alias("n")).collect()}  # terms of queries only
     at = q.rarest(counts)
     asked = spark.createDataFrame(pa.table({"term": q.term[at], "query": q.query[at].astype(np.int32), "offset": q.offset[at].astype(np.int32), "size": q.sizes[q.query[at]].astype(np.int32), "needed": q.needed()[q.query[at]].astype(np.int32)}))
     # places from which the query would start: a match's differ by what is inserted, so each lies in two wide bins
     stride = F.col("size") + 20
     bin_ = F.floor((F.col("pos") - F.col("offset")) / stride).cast("int")
-    met = index.join(maybe_broadcast(asked, len(at)), "term").select("doc", "query", "pos", "offset", "needed", F.explode(F.array(bin_, bin_ - 1)).alias("bin"))
+    met = index.join(maybe_broadcast(asked, len(at)), "term").select("doc", "query", F.explode("places").alias("pos"), "offset", "size", "needed").select("doc", "query", "pos", "offset", "needed", F.explode(F.array(bin_, bin_ - 1)).alias("bin"))
     windows = met.groupBy("doc", "query", "bin").agg(F.countDistinct("offset").alias("n"), F.first("needed").alias("needed"), F.min(F.struct("pos", "offset")).alias("a"), F.max(F.struct("pos", "offset")).alias("b")).where("n >= needed")
     wanted = stored(windows.groupBy("doc").agg(F.collect_set(F.struct("query", F.col("a.pos").alias("low"), F.col("a.offset").alias("low_at"), F.col("b.pos").alias("high"), F.col("b.offset").alias("high_at"))).alias("_windows")).withColumnRenamed("doc", "_doc"))
     shared = spark.sparkContext.broadcast((q.words, q.names))
