@@ -45,6 +45,8 @@ BLOCKED = "[" + "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in T.BLOCKED_S
 BLOCKED_SQL = "regexp_matches(array_to_string(regexp_extract_all(coalesce({0}, ''), '\\p{{L}}'), ''), '" + BLOCKED.replace("{", "{{").replace("}", "}}") + "')"
 FRACTION = "(concat('0x', substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
 SPLIT = "case when " + FRACTION + " < 0.8 then 'train' when " + FRACTION + " < 0.9 then 'validation' else 'test' end"
+SECRET_SQL = r"(regexp_matches(coalesce({0}, ''), '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----|\bAKIA[0-9A-Z]{{16}}\b|\b(sk|rk)-[A-Za-z0-9_-]{{20,}}\b') or len(list_filter(regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9+/]{{40,}}={{0,2}}'), lambda x: not regexp_full_match(rtrim(x, '='), '[0-9A-Fa-f]{{40,128}}') and len(list_distinct(string_split(rtrim(x, '='), ''))) >= 8 and regexp_matches(x, '[a-z]') and regexp_matches(x, '[A-Z]') and regexp_matches(x, '[0-9+/]'))) > 0)"
+REASONING_SQL = r"regexp_matches(coalesce({0}, ''), '(?i)<\s*/?\s*\|?think\|?\s*>|\bhidden chain[- ]of[- ]thought\b|\binternal reasoning:\s')"
 LABEL_ = r"nullif(regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '[-_\s]+', '{1}', 'g'), '')"
 
 
@@ -215,13 +217,14 @@ def prompt_overlap(spark, d):
 @query(r"""
 select count(*) as chunks, count(distinct source_group) as groups, count(distinct domain) as domains, count(chunk_id) - count(distinct chunk_id) as duplicate_ids, count(h) - count(distinct h) as duplicate_hashes,
  cast(sum((license is null)::int) as bigint) as missing_license, cast(sum((trim(coalesce(text, '')) = '')::int) as bigint) as empty_text, cast(sum(coalesce(contains(text, chr(65533)), false)::int) as bigint) as replacement_characters,
- cast(sum((""" + BLOCKED_SQL.format("text") + r""")::int) as bigint) as blocked_script
+ cast(sum((""" + BLOCKED_SQL.format("text") + r""")::int) as bigint) as blocked_script,
+ cast(sum((""" + SECRET_SQL.format("text") + r""")::int) as bigint) as secrets, cast(sum((""" + REASONING_SQL.format("text") + r""")::int) as bigint) as reasoning_markers
 from (select source_id as chunk_id, metadata.source_group as source_group, metadata.domain as domain, metadata.license as license, text, sha256(lower(""" + N_TEXT + """)) as h from source_document)
 """)
 def corpus_audit(spark, d):
     s = spread(table(spark, d, "source_document"))
     c = s.select(F.col("source_id").alias("chunk_id"), F.col("metadata.source_group").alias("source_group"), F.col("metadata.domain").alias("domain"), F.col("metadata.license").alias("license"), "text", canon.stable_hash(F.lower(canon.normalize_text(F.coalesce("text", F.lit(""))))).alias("chunk_content_hash"))
-    return C.audit(c).drop("secrets", "reasoning_markers")
+    return C.audit(c)
 
 
 # --- reports -------------------------------------------------------------------------------------------------------
@@ -599,14 +602,14 @@ def task_variants(spark, d):
 
 
 @query("""
-with e as (select episode_id, split, loaded_at, input.user_request as q, integration.published_answer as a, integration.decision as dec, commitment.confidence as c, integration.selected_artifacts as s from episode),
+with e as (select episode_id, split, loaded_at, input.user_request as q, integration.published_answer as a, integration.decision as dec, commitment.confidence as c, integration.selected_artifacts as s, concat_ws(chr(10), input.user_request, integration.published_answer) as t from episode),
 r as (select unnest(list_filter([case when not coalesce(regexp_full_match(episode_id, 'ep-[0-9a-f]{20}'), false) then 'id' end, case when not coalesce(split in ('train', 'validation', 'test'), false) then 'split' end, case when not coalesce(trim(q) <> '', false) then 'request' end,
- case when not coalesce(dec <> 'publish' or trim(a) <> '', false) then 'answer' end, case when not coalesce(c between 0 and 1, false) then 'confidence' end, case when len(list_distinct(coalesce(s, []))) <> len(coalesce(s, [])) then 'artifacts' end], lambda x: x is not null)) as rule from e)
+ case when not coalesce(dec <> 'publish' or trim(a) <> '', false) then 'answer' end, case when not coalesce(c between 0 and 1, false) then 'confidence' end, case when len(list_distinct(coalesce(s, []))) <> len(coalesce(s, [])) then 'artifacts' end,
+ case when """ + SECRET_SQL.format("t") + """ then 'secret' end, case when """ + REASONING_SQL.format("t") + """ then 'reasoning' end, case when """ + BLOCKED_SQL.format("t") + """ then 'script' end], lambda x: x is not null)) as rule from e)
 select rule, count(*) as episodes from r group by rule
 """)
 def episode_rules(spark, d):
-    rules = {k: v for k, v in R.episode_rules().items() if k not in ("secret", "reasoning", "script")}
-    return table(spark, d, "episode").select(F.explode(R.errors(rules)).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("episodes"))
+    return table(spark, d, "episode").select(F.explode(R.errors(R.episode_rules())).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("episodes"))
 
 
 @query()
