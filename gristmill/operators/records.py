@@ -18,26 +18,23 @@ def best_by_text(df: DataFrame, text: str, score: str, tie: str) -> DataFrame:
     return first_by(keyed, ["_key"], [-F.coalesce(F.col(score), F.lit(-1.0)), F.col(tie)]).drop("_key")
 
 
-def first_on_both(df: DataFrame, order: str, key_a: str, key_b: str, rounds: int = 50) -> DataFrame:
+def first_on_both(df: DataFrame, order: str, key_a: str, key_b: str) -> DataFrame:
     """First-wins on two keys at once: a row stays if no kept row before it shares either key.
 
     In each round rows that are first on both keys among the undecided are kept, and all that share a key with
-    them fall out; the rounds needed are the longest chain of such conflicts. Null keys collide with nothing.
+    them fall out; the rounds needed are the longest chain of such conflicts, and each decides its first row at least.
+    Null keys collide with nothing; rows without an order are left out.
     """
     from gristmill.session import cut
 
-    left, kept = cut(df.select(order, key_a, key_b)), None
-    for _ in range(rounds):
+    left, kept = cut(df.where(F.col(order).isNotNull()).select(order, key_a, key_b)), None
+    while kept is None or not left.isEmpty():
         a = left.where(F.col(key_a).isNotNull()).groupBy(key_a).agg(F.min(order).alias("_a"))
         b = left.where(F.col(key_b).isNotNull()).groupBy(key_b).agg(F.min(order).alias("_b"))
         j = left.join(a, key_a, "left").join(b, key_b, "left")
         now = cut(j.where((F.col("_a").isNull() | (F.col("_a") == F.col(order))) & (F.col("_b").isNull() | (F.col("_b") == F.col(order)))).select(order, key_a, key_b))
         kept = now.select(order) if kept is None else kept.union(now.select(order))
         left = cut(left.join(now.select(order), order, "left_anti").join(now.select(key_a), key_a, "left_anti").join(now.select(key_b), key_b, "left_anti").select(order, key_a, key_b))
-        if left.isEmpty():
-            break
-    else:
-        raise RuntimeError("the chain of conflicts is longer than the rounds allowed")
     return df.join(kept, order, "left_semi")
 
 
@@ -116,7 +113,7 @@ def preference_view(accepted: DataFrame, rejected: DataFrame, key: str, text: st
 def role_errors(messages: str) -> Column:
     """Whether turns fail to alternate user and assistant, after at most one system turn, ending with the assistant."""
     roles = F.transform(messages, lambda m: m["role"])
-    body = F.when(F.try_element_at(roles, F.lit(1)) == "system", F.slice(roles, 2, 100000)).otherwise(roles)
+    body = F.when(F.try_element_at(roles, F.lit(1)) == "system", F.slice(roles, F.lit(2), F.size(roles))).otherwise(roles)
     good = F.forall(F.transform(body, lambda r, i: r == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
     return ~(good & (F.size(body) > 0) & (F.size(body) % 2 == 0))
 

@@ -83,6 +83,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == set(brute_near(rows))
 
 
+def test_first_on_both_of_a_long_chain(spark):
+    rows = [(i, i, i + 1) for i in range(60)] + [(None, 1, 1), (99, None, None)]
+    df = spark.createDataFrame([(i, a // 2 if a is not None else None, b // 2 if b is not None else None) for i, a, b in rows], "i long, a long, b long")
+    got = {r.i for r in records.first_on_both(df, "i", "a", "b").collect()}
+    kept, seen_a, seen_b = set(), set(), set()
+    for i, a, b in sorted((r for r in rows if r[0] is not None)):
+        a, b = a // 2 if a is not None else None, b // 2 if b is not None else None
+        if (a is None or a not in seen_a) and (b is None or b not in seen_b):
+            kept.add(i), seen_a.add(a), seen_b.add(b)
+    assert got == kept
+
+
 def test_copies_of_removed_rows_are_near_copies(spark):
     words = [f"w{i}" for i in range(300)]
     rng = np.random.default_rng(3)
