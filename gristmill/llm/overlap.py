@@ -1,9 +1,10 @@
-"""Problem 1: same or near-same records across splits, by an index of the held-out records' n-gram hashes."""
+"""Problem 1: same or near-same records across splits, by counting shared rare words of all held-out records at once."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,18 +14,16 @@ from pyspark.sql import functions as F
 
 from gristmill.canon import label
 from gristmill.llm.grams import clean, mix, parts, word_hashes
-from gristmill.session import cut, spread, stored, table
+from gristmill.session import cut, shared_dir, spread, stored, table
 
 #: Two records overlap if they share NUM / DEN of the longer one's words.
 NUM, DEN = 3, 4
-#: Words which a pair must share among the first ones of its records, if it shares as many at all.
-HITS = 3
-#: Training records of up to so many words are looked for by pairs of their first words, longer ones by single words.
-SHORT = 150
-#: The held-out index is broadcast up to so many words, else partitioned; hits counted at a time; words of a sketch.
-HELD_WORDS, EXPANDED, SKETCH_WORDS = 2_000_000, 2_000_000, 8
-#: Words held by more records than all words divided by this come last by their counts; so there are at most so many.
-COMMON = 200_000
+#: Words which a pair must share among the first ones of its records, if it shares as many at all; counters hold up to this power of two.
+HITS = 8
+#: Words of a piece of the held-out side, which is broadcast; counters held at a time, in 64; words of a sketch.
+HELD_WORDS, COUNTED, SKETCH_WORDS = 2_000_000, 16_384, 8
+#: Words among the first ones of one in so many held-out records have their bits stored, rarer ones a list of records.
+COMMON = 128
 
 WORDS = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[a-z]{2,8}|#\d{1,6});")
@@ -83,42 +82,31 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def grams(rank: np.ndarray, known: np.ndarray, flat: np.ndarray, starts: np.ndarray, held: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(record, hash) of the n-grams a record is looked for by: pairs of its first words in order of rank, or single ones if long.
-
-    Words count in any order, so an n-gram is made of words as sorted, not as written. Records that share k words
-    share at least min(HITS, k) among the first n - k + HITS of each, in any order common to both sides. Held-out
-    records of a length that both kinds of training records can match have both kinds. Words that are not ``known``
-    to the other side take their place but make no n-gram.
-    """
+def first_words(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(record, place) of the words that may be the first HITS which a record shares with one that overlaps it, in order of rank."""
     n = np.diff(starts)
     row = np.repeat(np.arange(len(n)), n)
-    order = _order(row, rank)  # ties in the order of hashes, as both sides hold them
+    order = _order(row, rank)
     inside = np.arange(len(order)) - np.repeat(starts[:-1], n)
-    order = order[inside < np.repeat(np.minimum(n, n - least_shared(n) + HITS), n)]
-    order = order[known[order]]
-    row, tok = row[order], flat[order].view(np.uint64)
-    m = np.bincount(row, minlength=len(n))
-    first = np.concatenate([[0], np.cumsum(m)])[:-1]
-    short = n <= (SHORT * DEN // NUM if held else SHORT)
-    long = n > (SHORT * NUM // DEN if held else SHORT)
-    rows, out = [], []
-    for size in np.unique(m[short]):
-        at = np.flatnonzero(short & (m == size))
-        t = tok[first[at][:, None] + np.arange(size)]
-        i, j = np.triu_indices(size, 1)
-        rows.append(np.repeat(at, len(i)))
-        out.append(mix(t[:, i] * np.uint64(0x9E3779B97F4A7C15) + t[:, j]).ravel())
-    one = (n[row] == 1) | long[row]
-    rows.append(row[one])
-    out.append(mix(tok[one] ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(rows), np.concatenate(out)
-
-
-def needed_hits(n_train: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """N-grams in common of a pair that shares ``least`` words."""
-    k = np.minimum(HITS, least)
-    return np.where(n_train > SHORT, k, np.maximum(1, k * (k - 1) // 2))
+    order = order[inside < np.repeat(n - least_shared(n) + HITS, n)]
+    return row[order], order
+
+
+def _add(counters: list[np.ndarray], waiting: list[np.ndarray | None], enough: np.ndarray, x: np.ndarray, k: int) -> None:
+    """Adds the bits of x, which it uses up, to bit k of counters, two such arrays at a time; what runs over goes to ``enough``."""
+    while k < len(counters):
+        y, waiting[k] = waiting[k], None
+        if y is None:
+            waiting[k] = x
+            return
+        c = counters[k]
+        over = c & y
+        c ^= y
+        np.bitwise_and(c, x, out=y)
+        c ^= x
+        over |= y
+        x, k = over, k + 1
+    enough |= x
 
 
 def sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -130,24 +118,81 @@ def sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class HeldIndex:
-    """Inverted index of the held-out classes by n-grams of their rarest words, met by training records in batches."""
+    """Held-out classes in order of length, as bits (or, of rare words, lists) of those that have a word among their first ones.
+
+    Words are ordered from the rarest, in any order of the text. Records that share k words share at least min(HITS, k)
+    among the first n - k + HITS of each, in any order common to both sides.
+    """
 
-    def __init__(self, held: pa.Table):
-        held = held.combine_chunks()
-        self.key, self.n = held.column("key").to_numpy(), held.column("n").to_numpy().astype(np.int64)
-        toks = held.column("toks").combine_chunks()
-        flat, starts = _flat(toks.combine_chunks() if isinstance(toks, pa.ChunkedArray) else toks)
+    def __init__(self, key: np.ndarray, n: np.ndarray, flat: np.ndarray):
+        self.key, self.n = key, n.astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(self.n)])
         self.vocabulary, word, count = np.unique(flat, return_inverse=True, return_counts=True)
         self.rank = np.empty(len(count), np.int64)
         self.rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-        row, h = grams(self.rank[word], np.ones(len(flat), bool), flat, starts, True)
-        order = np.argsort(h)
-        self.owner = row[order].astype(np.int32)
-        self.gram, count_h = np.unique(h[order], return_counts=True)
-        self.first = np.concatenate([[0], np.cumsum(count_h)])
         self.bits = sketches(flat, starts)
-        owner = np.repeat(np.arange(len(self.n)), np.diff(starts))
+        owner = np.repeat(np.arange(len(self.n)), self.n)
         self.pairs = np.sort(owner * len(count) + word)  # (class, word), for the exact count
+        row, at = first_words(self.rank[word], starts)
+        row, at = row[order := np.argsort(word[at], kind="stable")], word[at][order]
+        self.lists, self.first = row, np.searchsorted(at, np.arange(len(count) + 1))
+        many = np.diff(self.first)
+        self.slot = np.where(many * COMMON > len(self.n), np.cumsum(many * COMMON > len(self.n)), 0)  # 0: a list
+        self.sets = np.zeros((int(self.slot.max(initial=0)) + 1, len(self.n) + 63 >> 6), np.uint64)
+        stored = self.slot[at] > 0
+        row, at = row[stored], self.slot[at[stored]]
+        np.bitwise_or.at(self.sets.reshape(-1), at * self.sets.shape[1] + (row >> 6), np.uint64(1) << (row & 63).astype(np.uint64))
+
+    def candidates(self, n: np.ndarray, word: np.ndarray, known: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(record, class) of the pairs that share enough of their first words, of lengths near each other."""
+        row, at = first_words(np.where(known, self.rank[word], -1), starts)
+        kept = known[at]  # other words take their place, but are in no class
+        row, at = row[kept], word[at[kept]]
+        many = np.bincount(row, minlength=len(n))
+        first = np.cumsum(many) - many
+        records = np.argsort(n, kind="stable")
+        records = records[many[records] >= np.minimum(HITS, least_shared(n[records]))]
+        lo = 0
+        while lo < len(records):
+            # classes that match any of the records, by words of 64
+            a = int(np.searchsorted(self.n, least_shared(n[records[lo]]))) >> 6
+            size = max(1, COUNTED // max(1, self.sets.shape[1] - a))
+            own = records[lo : lo + size]
+            own = own[n[own] <= max(2 * n[own[0]], 16)]
+            own = own[: max(1, COUNTED * 64 // int(many[own].max()))]
+            lo += len(own)
+            b = int(np.searchsorted(self.n, n[own[-1]] * DEN // NUM, "right")) + 63 >> 6
+            if b <= a:
+                continue
+            steps = int(many[own].max())
+            place = np.arange(steps)
+            inside = place < many[own][:, None]
+            words = np.where(inside, at[np.minimum(first[own][:, None] + place, len(at) - 1)], -1)
+            slots = np.where(inside, self.slot[words], 0)
+            i, j = np.nonzero(inside & (slots == 0))
+            i, j, w = i[order := np.argsort(j, kind="stable")], j[order], words[i, j][order]
+            size = self.first[w + 1] - self.first[w]
+            c = self.lists[np.repeat(self.first[w] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            i, j = np.repeat(i, size), np.repeat(j, size)
+            near = (c >> 6 >= a) & (c >> 6 < b)
+            i, j, c = i[near], j[near], c[near]
+            cell, bit = i * (b - a) + (c >> 6) - a, np.uint64(1) << (c & 63).astype(np.uint64)
+            part = np.searchsorted(j, np.arange(steps + 1))
+            # three bits of a counter for each class, 64 classes at once, from what is not needed of HITS; enough once they run over
+            given = HITS - np.minimum(HITS, least_shared(n[own]))
+            counters = [np.repeat(np.where(given >> k & 1, ~np.uint64(0), np.uint64(0))[:, None], b - a, 1) for k in range(HITS.bit_length() - 1)]
+            enough, waiting = np.zeros((len(own), b - a), np.uint64), [None] * len(counters)
+            for k in range(steps):
+                x = self.sets[slots[:, k], a:b]
+                if part[k] < part[k + 1]:
+                    np.bitwise_or.at(x.reshape(-1), cell[part[k] : part[k + 1]], bit[part[k] : part[k + 1]])
+                _add(counters, waiting, enough, x, 0)
+            for k in range(len(counters)):
+                if waiting[k] is not None:
+                    _add(counters, waiting, enough, np.zeros_like(enough), k)
+            i, j = np.nonzero(enough)
+            k, bit = np.nonzero(np.unpackbits(enough[i, j].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            yield own[i[k]], (j[k] + a << 6) + bit
 
     def search(self, n: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(record, class, words shared) of every overlapping pair."""
@@ -156,32 +201,15 @@ class HeldIndex:
             return none, none, none
         word = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
         known = self.vocabulary[word] == flat
-        row, h = grams(np.where(known, self.rank[word], -1), known, flat, starts, False)
-        place = np.minimum(np.searchsorted(self.gram, h), len(self.gram) - 1)
-        met = self.gram[place] == h
-        row, place = row[met], place[met]
-        order = np.argsort(row, kind="stable")
-        row, start = row[order], self.first[place[order]]
-        many = self.first[place[order] + 1] - start
-        upto, out, lo = np.cumsum(many), [], 0
-        bits = sketches(flat, starts)
-        while lo < len(row):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + EXPANDED, "right")))
-            hi = int(np.searchsorted(row, row[hi - 1], "right"))  # whole records
-            m = many[lo:hi]
-            at = np.repeat(start[lo:hi] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            pair = np.repeat(row[lo:hi] * len(self.n), m) + self.owner[at]
-            pair.sort()
-            new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-            hits = np.diff(np.append(new, len(pair)))
-            r, c = pair[new] // len(self.n), pair[new] % len(self.n)
-            least = least_shared(np.maximum(n[r], self.n[c]))
-            likely = (np.minimum(n[r], self.n[c]) >= least) & (hits >= needed_hits(n[r], least))
-            r, c, least = r[likely], c[likely], least[likely]
-            gone = lambda n, a, b: n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64) >= least  # noqa: B023, E731
-            likely = gone(n[r], bits[r], self.bits[c]) & gone(self.n[c], self.bits[c], bits[r])
-            out.append((r[likely], c[likely], least[likely]))
-            lo = hi
+        out, bits = [], sketches(flat, starts)
+        for r, c in self.candidates(n, word, known, starts):
+            for lo in range(0, len(r), 500_000):
+                a, b = r[lo : lo + 500_000], c[lo : lo + 500_000]
+                least = least_shared(np.maximum(n[a], self.n[b]))
+                likely = np.minimum(n[a], self.n[b]) >= least
+                likely &= n[a] - np.bitwise_count(bits[a] & ~self.bits[b]).sum(1, dtype=np.int64) >= least
+                likely &= self.n[b] - np.bitwise_count(self.bits[b] & ~bits[a]).sum(1, dtype=np.int64) >= least
+                out.append((a[likely], b[likely], least[likely]))
         if not out:
             return none, none, none
         r, c, least = (np.concatenate(x) for x in zip(*out))
@@ -201,71 +229,66 @@ _FOUND = ["key_eval", "key_train", "shared", "n_eval", "n_train"]
 _KINDS = "key_eval long, key_train long, shared int, n_eval int, n_train int"
 
 
-def _broadcast_pairs(train: DataFrame, held: DataFrame) -> DataFrame:
-    """Overlapping classes by one scan of the training side past the broadcast index."""
-    index = train.sparkSession.sparkContext.broadcast(HeldIndex(held.select("key", "n", "toks").toArrow()))
+#: The index that this Python worker built last, by the id of its piece.
+_built: dict[str, HeldIndex] = {}
+
+
+def _pieces(held: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(shortest, longest, part, parts): lengths of held-out classes of HELD_WORDS words at most together, or parts of one length."""
+    out: list[tuple[int, int, int, int]] = []
+    lo = hi = words = 0
+    for n, many in held.groupBy("n").count().orderBy("n").collect():
+        if words and words + n * many > HELD_WORDS:
+            out.append((lo, hi, 0, 1))
+            words = 0
+        if (parts := min(many, -(-n * many // HELD_WORDS))) > 1:
+            out += [(n, n, k, parts) for k in range(parts)]
+        else:
+            lo, hi, words = lo if words else n, n, words + n * many
+    return [*out, (lo, hi, 0, 1)] if words else out
+
+
+def _write_pairs(train: DataFrame, held: DataFrame, path: str, lo: int, hi: int, part: int, parts: int) -> None:
+    """Appends the overlapping classes of one piece, by a scan of the training records of lengths near its own."""
+    own = held.where((F.col("n") >= lo) & (F.col("n") <= hi) & (F.pmod(F.col("key"), F.lit(parts)) == part)).select("key", "n", "toks").toArrow().sort_by("n").combine_chunks()
+    if not own.num_rows:
+        return
+    toks = own.column("toks").combine_chunks()
+    flat = _flat(toks.combine_chunks() if isinstance(toks, pa.ChunkedArray) else toks)[0]
+    shared = train.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, own.column("key").to_numpy(), own.column("n").to_numpy(), flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = index.value
+        name, *held = shared.value
         for b in batches:
+            if name not in _built:
+                _built.clear()
+                _built[name] = HeldIndex(*held)
+            h = _built[name]
             _, one = np.unique(b.column(0).to_numpy(), return_index=True)  # copies are one class
             b = b.take(pa.array(one))
             n = b.column(1).to_numpy().astype(np.int64)
-            r, c, shared = h.search(n, *_flat(b.column(2)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.key[c]), pa.array(b.column(0).to_numpy()[r]), pa.array(shared.astype(np.int32)), pa.array(h.n[c].astype(np.int32)), pa.array(n[r].astype(np.int32))], _FOUND)
-
-    return train.select("key", "n", "toks").mapInArrow(run, _KINDS)
+            r, c, shared_ = h.search(n, *_flat(b.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.key[c]), pa.array(b.column(0).to_numpy()[r]), pa.array(shared_.astype(np.int32)), pa.array(h.n[c].astype(np.int32)), pa.array(n[r].astype(np.int32))], _FOUND)
 
-
-def _partitioned_pairs(train: DataFrame, held: DataFrame, words: int) -> DataFrame:
-    """Overlapping classes by a join on n-grams, for a held-out side of any size.
-
-    Both sides put common words last by their counts (there are at most COMMON of them) and all others first by their
-    hashes: one order, so nothing is lost, and words of very many records make n-grams only where records hold little
-    else. What hot keys remain the planner splits.
-    """
-    counts = held.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(1, words // COMMON))
-    common = train.sparkSession.sparkContext.broadcast(counts.toArrow().sort_by([("c", "ascending"), ("t", "ascending")]).column("t").to_numpy())
-
-    def looked_for(held: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            order = np.argsort(common.value)
-            keys = common.value[order]
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 1000):
-                    b = whole.slice(lo, 1000)
-                    flat, starts = _flat(b.column(2))
-                    at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
-                    hot = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-                    row, h = grams(np.where(hot, (1 << 38) + (order[at] if len(keys) else 0), flat.view(np.uint64) >> np.uint64(26)).astype(np.int64), np.ones(len(flat), bool), flat, starts, held)
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64))], ["key", "n", "t"])
-
-        return run
-
-    first = lambda df, held: df.select("key", "n", "toks").mapInArrow(looked_for(held), "key long, n int, t long")
-    classes = stored(train.select("key", "n", "toks").groupBy("key").agg(F.first("n").alias("n"), F.first("toks").alias("toks")))
-    e = first(held, True).select(F.col("key").alias("key_eval"), F.col("n").alias("n_eval"), "t")
-    t = first(classes, False).select(F.col("key").alias("key_train"), F.col("n").alias("n_train"), "t")
-    least = F.ceil(F.lit(NUM) * F.greatest("n_eval", "n_train") / F.lit(DEN))
-    hits = e.join(t, "t").where(F.least("n_eval", "n_train") >= least).groupBy("key_eval", "key_train", "n_eval", "n_train").agg(F.count(F.lit(1)).alias("hits"))
-    k = F.least(F.lit(HITS), least)
-    hits = hits.where(F.col("hits") >= F.when(F.col("n_train") > SHORT, k).otherwise(F.greatest(F.lit(1), k * (k - 1) / 2)))
-    both = hits.join(held.select(F.col("key").alias("key_eval"), F.col("toks").alias("a")), "key_eval").join(classes.select(F.col("key").alias("key_train"), F.col("toks").alias("b")), "key_train")
-    return both.withColumn("shared", F.size(F.array_intersect("a", "b"))).where(F.col("shared") >= least).select(_FOUND)  # numbered words are distinct
+    near = train.where((F.col("n") * DEN >= NUM * lo) & (F.col("n") * NUM <= DEN * hi)).select("key", "n", "toks")
+    near.mapInArrow(run, _KINDS).write.mode("append").parquet(path)
+    shared.destroy()
 
 
 def class_pairs(prepared: DataFrame, is_eval: str) -> DataFrame:
     """(key_eval, key_train, shared, n_eval, n_train): overlapping classes of equal multisets, one evaluation, one training.
 
-    N-grams of the evaluation side's rarest words are broadcast as an index if few, else partitioned; training is
-    scanned for hits, and pairs with enough of them are compared by their whole multisets. Both ways are exact.
+    The evaluation side is broadcast in pieces of like lengths, one after another, and training records of lengths that
+    can match are scanned for each; nothing that grows with the pairs of words is shuffled. Exact for any size.
     Copies of a text are one class, so they add no pairs here.
     """
+    spark, path = prepared.sparkSession, f"{shared_dir(prepared.sparkSession)}/table-{uuid.uuid4().hex}"
     train = prepared.where(f"not {is_eval}")
     held = stored(prepared.where(is_eval).groupBy("key").agg(F.first("n").alias("n"), F.first("toks").alias("toks")))
-    words = held.agg(F.sum("n")).first()[0] or 0
-    return (_broadcast_pairs(train, held) if words <= HELD_WORDS else _partitioned_pairs(train, held, words)).distinct()
+    spark.createDataFrame([], _KINDS).write.parquet(path)
+    for piece in _pieces(held):
+        _write_pairs(train, held, path, *piece)
+    return spark.read.schema(_KINDS).parquet(path).distinct()
 
 
 def split_overlaps(rows: DataFrame, record: str, split: str, text: str, carry: list[str], train: str = "train") -> DataFrame:

@@ -386,6 +386,26 @@ def test_overlaps_near_the_threshold_by_length(spark, monkeypatch, held_words):
     assert _overlaps(spark, rows) == want and {(f"t-{n}-0", f"least-{n}-0") for n in (15, 16, 20, 28, 40, 80, 700)} <= want
 
 
+def test_overlaps_write_little_to_disk(spark, monkeypatch):
+    """A held-out side in many pieces: every pair, and no more on disk than a few times the text."""
+    monkeypatch.setattr(overlap, "HELD_WORDS", 2500)
+    files = lambda: (lambda f: sum(f.apply(i).length() for i in range(f.size())))(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+    rng = random.Random(13)
+    vocabulary = [f"word{i}" for i in range(900)]
+    rows = [(f"t{i}", "train", " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(900)]
+    for i in range(120):
+        w = rows[i][2].split()
+        rows.append((f"v{i}", "test", " ".join(x if rng.random() > 0.02 * (i % 20) else rng.choice(vocabulary) for x in rng.sample(w, 60 - i % 3))))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as sides too large for a broadcast are joined
+    try:
+        before, got = files(), _overlaps(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert files() - before < 2 * sum(len(t) for _, _, t in rows)
+    assert got == _brute(rows) and 50 < len(got) < 120
+
+
 def test_words_ignore_looks():
     assert overlap.words("<b>Ｆｏｏ</b> ba​r, &nbsp;“7”!") == ["foo", "bar", "7"]
 
